@@ -1,5 +1,7 @@
 """Plain versions that the operators are held against."""
 
+import hashlib
+
 import numpy as np
 import xxhash
 
@@ -45,3 +47,23 @@ def simhash_groups(rows, radius=3):
         links += [(ids[i], ids[j]) for j in near.tolist()]
     comp = components(ids, links)
     return [(i, f"{int(f):016x}", comp[i]) for i, f in zip(ids, fp, strict=True)]
+
+
+def remove_repeats(rows, length=50):
+    """rows (doc_id, text) -> (doc_id, n_bytes, n_removed, n_spans, sha256 of the rest)."""
+    least = {}
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    for i, t in texts:
+        for p in range(len(t) - length + 1):
+            s = t[p : p + length]
+            least[s] = min(least.get(s, i), i)
+    out = []
+    for i, t in texts:
+        gone = np.zeros(len(t) + 1, bool)
+        for p in range(len(t) - length + 1):
+            if least[t[p : p + length]] < i:
+                gone[p : p + length] = True
+        runs = int((gone[1:] & ~gone[:-1]).sum() + (gone[0] if len(gone) else 0))
+        kept = bytes(np.frombuffer(t, np.uint8)[~gone[:-1]])
+        out.append((i, len(t), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+    return out
