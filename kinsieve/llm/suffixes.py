@@ -38,7 +38,7 @@ TOKEN = 16
 #: Bytes of text in a pack, of which a task holds one at a time.
 PACK_BYTES = 4 << 20
 #: Bytes of text for which there is one bucket; splitters are held on the driver, so their number has a bound.
-BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 1 << 16
+BUCKET_BYTES, MOST_BUCKETS = 6 << 20, 1 << 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
 _CHUNK = 1 << 19
