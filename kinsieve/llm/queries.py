@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import crc_fold, read_table
 from .simhash import simhash_groups
 from .suffixes import remove_repeats
+from .toxicity import ToxicityParams, fit_on, score_toxicity
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels, params = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ToxicityParams()
+    got = score_toxicity(docs, fit_on(docs, labels, params))
+    return got.select("doc_id", (crc_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= params.threshold).cast("int").alias("predicted"))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +31,7 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
 }
