@@ -92,23 +92,19 @@ class _WordScores(dict):
         return got
 
 
-def _bags(texts: list[bytes], p: ToxicityParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(offsets, table rows, weights) of the texts' bags; the weights of a text add up to 1."""
-    known, at, rows, weights = _WordRows(p), [0], [], []
+def _bags(texts: list[bytes], p: ToxicityParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(table rows, weights) of each text's bag; the weights of a text add up to 1."""
+    known = _WordRows(p)
     for t in texts:
         words = [known[w] for w in t.lower().split()]
         if words:
-            ids = np.concatenate(words)
             each = np.repeat([1 / len(w) / len(words) for w in words], [len(w) for w in words])
-            ids, back = np.unique(ids, return_inverse=True)
-            rows.append(ids.astype(np.int32))
-            weights.append(np.bincount(back, each).astype(np.float32))
-            at.append(at[-1] + len(ids))
+            ids, back = np.unique(np.concatenate(words), return_inverse=True)
+            yield ids, np.bincount(back, each)
         else:
-            at.append(at[-1])
-        if len(known) > 200_000:
+            yield np.zeros(0, np.int64), np.zeros(0)
+        if len(known) > 100_000:
             known.clear()
-    return np.array(at), np.concatenate([*rows, np.zeros(0, np.int32)]), np.concatenate([*weights, np.zeros(0, np.float32)])
 
 
 def fit(texts: list[bytes], labels: np.ndarray, p: ToxicityParams = ToxicityParams()) -> ToxicityModel:
@@ -119,18 +115,18 @@ def fit(texts: list[bytes], labels: np.ndarray, p: ToxicityParams = ToxicityPara
     if len(set(y.tolist())) < 2:
         return ToxicityModel(np.zeros(p.buckets), bias, p)
     rng = np.random.default_rng(p.seed)
-    at, rows, weights = _bags(texts, p)
-    size = np.diff(at)
-    owner = np.repeat(np.arange(len(y)), size)
     # a row learns if its texts' labels differ from the share of label 1 by more than chance; others would only tell texts apart
-    n1, n = np.bincount(rows, y[owner], p.buckets), np.bincount(rows, minlength=p.buckets)
+    n1, n = np.zeros(p.buckets), np.zeros(p.buckets)
+    for (ids, _), label in zip(_bags(texts, p), y.tolist(), strict=True):
+        n[ids] += 1
+        n1[ids] += label
     chance = n * share
     learns = np.abs(n1 - chance) >= p.least_z * np.sqrt(np.maximum(chance * (1 - share), 1))
     number = np.cumsum(learns) - 1
-    go = learns[rows]
-    rows, weights, owner = number[rows[go]], weights[go] * p.scale, owner[go]
-    at = np.searchsorted(owner, np.arange(len(y) + 1))
-    size = np.diff(at)
+    bags = [(number[ids[go]], p.scale * w[go]) for ids, w in _bags(texts, p) for go in [learns[ids]]]
+    size = np.array([len(ids) for ids, _ in bags])
+    at = np.r_[0, np.cumsum(size)]
+    rows, weights = np.concatenate([ids for ids, _ in bags]), np.concatenate([w for _, w in bags])
     emb = rng.uniform(-1, 1, (int(learns.sum()), p.dim)) / p.dim
     soft, b = rng.normal(0, 1 / p.dim, (p.dim, 2)), np.array([0.0, bias])
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in (emb, soft, b)]
