@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import url_query
 from .common import crc_fold, fresh_path, read_table
 from .language import LanguageParams, identify, learn_from
+from .mixing import mix
+from .packing import pack
 from .quality import quality_rules
 from .records import read_token_records, write_token_records
 from .simhash import simhash_groups
@@ -34,6 +36,21 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Target weights of the sources, in parts; all others share one part of ten.
+WEIGHTS = {"src0": 4.0, "src1": 3.0, "src2": 3.0, "src3": 3.0, "src4": 3.0, "src5": 2.0, "src6": 2.0, "src7": 2.0, "src8": 2.0, "src9": 2.0, "other": 10.0}
+BLOCK_CHARS = 20_000
+WINDOW_TOKENS = 2048
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("n_chars"))
+    return mix(docs, WEIGHTS, BLOCK_CHARS, length=F.col("n_chars"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), WINDOW_TOKENS, per_source=2)
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,7 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op6_mixing": op6_mixing,
     "op7_token_records": op7_token_records,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
 }
