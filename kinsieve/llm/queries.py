@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import url_query
 from .common import crc_fold, fresh_path, read_table
 from .language import LanguageParams, identify, learn_from
+from .lattice import near_duplicate_vectors
 from .mixing import mix
 from .packing import pack
 from .quality import quality_rules
@@ -36,6 +37,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 #: Target weights of the sources, in parts; all others share one part of ten.
 WEIGHTS = {"src0": 4.0, "src1": 3.0, "src2": 3.0, "src3": 3.0, "src4": 3.0, "src5": 2.0, "src6": 2.0, "src7": 2.0, "src8": 2.0, "src9": 2.0, "other": 10.0}
 BLOCK_CHARS = 20_000
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_mixing": op6_mixing,
     "op7_token_records": op7_token_records,
     "op8_best_fit_packing": op8_best_fit_packing,

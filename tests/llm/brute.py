@@ -67,3 +67,21 @@ def remove_repeats(rows, length=50):
         kept = bytes(np.frombuffer(t, np.uint8)[~gone[:-1]])
         out.append((i, len(t), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def vector_links(rows, threshold=0.93):
+    """rows (vec_id, vector, label) -> {vec_id: (n_links, component_id)}."""
+    good = {}
+    for i, v, lab in rows:
+        if v is not None and lab is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            good.setdefault((lab, len(v)), []).append((i, np.array(v, np.float64)))
+    links, n = [], {r[0]: 0 for r in rows}
+    for group in good.values():
+        x = np.stack([v / np.linalg.norm(v) for _, v in group])
+        for a in range(len(x)):
+            for b in (np.flatnonzero(x[a + 1 :] @ x[a] >= threshold) + a + 1).tolist():
+                links.append((group[a][0], group[b][0]))
+                n[group[a][0]] += 1
+                n[group[b][0]] += 1
+    comp = components([r[0] for r in rows], links)
+    return {i: (n[i], comp[i]) for i in n}
