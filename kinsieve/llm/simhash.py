@@ -99,10 +99,15 @@ def _search_shards(radius: int):
             shard = np.unique(shard, return_inverse=True)[1]
         value = fp.view(np.uint64)
         forest = bktree.build(shard, value)
-        found = [(q[q < node], node[q < node]) for q, node in bktree.search(forest, shard, value, radius)]
-        if not found:
-            return fp[:0], fp[:0]
-        low = bktree.label(len(fp), np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]))
+        low, some, n = np.arange(len(fp)), [], 0
+        for q, node in bktree.search(forest, shard, value, radius):
+            go = q < node
+            some.append((q[go], node[go]))
+            n += len(some[-1][0])
+            if n > 1 << 20:  # what was found comes down to one link a fingerprint
+                low = bktree.label(len(fp), np.concatenate([np.arange(len(fp)), *(x for x, _ in some)]), np.concatenate([low, *(x for _, x in some)]))
+                some, n = [], 0
+        low = bktree.label(len(fp), np.concatenate([np.arange(len(fp)), *(x for x, _ in some)]), np.concatenate([low, *(x for _, x in some)]))
         go = low != np.arange(len(fp))
         return fp[go], fp[low[go]]
 

@@ -397,7 +397,7 @@ def _repeats(length: int):
     return run
 
 
-def _cut(names: list[str], text_col: str, n_rest: int):
+def _cut(characters: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for texts, lens, rest, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -409,6 +409,9 @@ def _cut(names: list[str], text_col: str, n_rest: int):
                     np.add.at(edge, a, 1)
                     np.add.at(edge, a + size, -1)
                 gone = np.cumsum(edge[:-1]) > 0
+                if characters and gone.any():
+                    char = np.cumsum((values & 0xC0) != 0x80)
+                    gone = (np.bincount(char, ~gone) == 0)[char]
                 begin = gone & ~np.r_[False, gone[:-1]]
                 begin[at[:-1][at[:-1] < len(values)]] |= gone[at[:-1][at[:-1] < len(values)]]
                 end = gone & ~np.r_[gone[1:], False]
@@ -427,19 +430,19 @@ def _cut(names: list[str], text_col: str, n_rest: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", characters: bool = False) -> DataFrame:
     """Cut every byte covered by a string of ``length`` bytes that also starts in a document with a smaller id.
 
-    Returns the columns of ``docs`` but the text (which must not be named n_bytes, spans or kept; see ``clashing``), with
+    Returns the columns of ``docs`` but the text (those named n_bytes, spans or kept are replaced), with
     ``n_bytes`` (of the whole text), ``spans`` (maximal removed runs as byte offsets) and ``kept`` (the other bytes).
     One row for each row. Strings are judged on the input. Null and short texts lose nothing; a null text counts as empty. Rows
-    with a null id, and rows with equal ids among themselves, remove nothing from one another.
+    with a null id, and rows with equal ids among themselves, remove nothing from one another. ``characters`` draws spans in to whole
+    UTF-8 characters, so that what is kept is text.
     """
     if length < 2 * TOKEN:
         raise ValueError(f"length must be {2 * TOKEN} or more")
     spark = docs.sparkSession
-    clash = {c: f"_in_{c}" for c in docs.columns if c in ("n_bytes", "spans", "kept")}
-    docs = docs.withColumnsRenamed(clash)
+    docs = docs.drop("n_bytes", "spans", "kept")
     names = docs.columns
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     packs = materialize(
@@ -460,18 +463,4 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     spans = materialize(spans, "suffix-spans").groupBy("pack").agg(F.collect_list("spans").alias("spans"))
     rest = [f"`{c}` {kinds[c]}" for c in names if c != text_col]
     schema = ", ".join([*rest, "n_bytes bigint", "spans array<struct<start bigint, stop bigint>>", "kept binary"])
-    out = inner.join(spans, "pack", "left").select("texts", "lens", "rest", "spans").mapInArrow(_cut(names, text_col, len(rest)), schema)
-    return out
-
-
-def whole_characters(spans: list, text: bytes) -> list:
-    """Spans drawn in to whole UTF-8 characters."""
-    out = []
-    for a, b in spans:
-        while a < b and text[a] & 0xC0 == 0x80:
-            a += 1
-        while b > a and b < len(text) and text[b] & 0xC0 == 0x80:
-            b -= 1
-        if a < b:
-            out.append((a, b))
-    return out
+    return inner.join(spans, "pack", "left").select("texts", "lens", "rest", "spans").mapInArrow(_cut(characters), schema)

@@ -188,3 +188,20 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text's score is below the threshold, with all their columns."""
+    kept = docs.sparkSession.sparkContext.broadcast((model.row.astype(np.float64), model.bias, model.params))
+    text_at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = ToxicityModel(*kept.value)
+        known = _WordScores(model)
+        for b in batches:
+            for i, j, values, at in byte_slices(b.column(text_at)):
+                raw = values.tobytes()
+                got = model.scores([raw[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], known)
+                yield b.slice(i, j - i).filter(pa.array(got < model.params.threshold))
+
+    return docs.mapInArrow(run, docs.schema)
