@@ -66,34 +66,82 @@ def unpack_ids(data: bytes) -> tuple[int | None, np.ndarray]:
     return (doc_id if has else None), np.frombuffer(data, f"<u{width}", -1, _HEAD.size)
 
 
+MARKS = ".,"
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that encodes white-space separated words one by one.
 
-    This holds where the tokenizer drops white space before it splits words. A word's ids are kept, up to ``most`` words.
+    This holds where the tokenizer drops white space, parts letters from marks and reads A-Z as a-z, as word BPE with word ends does. A
+    word's ids are kept while the process runs, up to a bound.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most_words: int = 300_000, most_units: int = 1_100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.tokenizer, self.most_words, self.most_units = Tokenizer.from_file(path), most_words, most_units
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.vocab = max(vocab.values()) + 1
+        self.ends = np.zeros(self.vocab, bool)  # ids that end a word, for tokenizers that mark it
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.marks = [self._each([m])[0] for m in MARKS]
+        if any(len(m) != 1 for m in self.marks):
+            raise ValueError("the tokenizer must have an id for a full stop and a comma")
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.known: dict[bytes, int] = {}  #: a word as it stands: number of its unit, times 3, and which mark follows
+        self.units: dict[str, int] = {}  #: what is encoded: letters without a mark, or any other word
+        self.ids, self.at = np.zeros(1 << 16, np.uint16 if self.vocab <= 1 << 16 else np.uint32), np.zeros(1, np.int64)
+
+    def _each(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[list[int]]:
+        """Ids of words of letters only. They are encoded as one text and cut after the ids that end a word; if those are not as many as the words, one by one."""
+        out = []
+        for lo in range(0, len(words), 2000):
+            part = words[lo : lo + 2000]
+            ids = self._each([" ".join(part)])[0]
+            cut = (np.flatnonzero(self.ends[ids]) + 1).tolist() if ids else []
+            out += [ids[x:y] for x, y in zip([0, *cut], cut, strict=False)] if len(cut) == len(part) and cut[-1] == len(ids) else self._each(part)
+        return out
+
+    def _add(self, words: list[str], got: list[list[int]]) -> None:
+        self.units.update(zip(words, range(len(self.units), len(self.units) + len(words)), strict=True))
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(list(map(len, got)), dtype=np.int64)])
+        while len(self.ids) < self.at[-1]:
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        flat = [i for g in got for i in g]
+        self.ids[self.at[-1] - len(flat) : self.at[-1]] = flat
 
     def _learn(self, words: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), np.uint32)])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(g) for g in got])])
+        """Learn words; one of letters, with a full stop or comma at its end or without, has the ids of the letters and that of the mark."""
+        bodies, marks, plain = [], [], []
+        for w in words:
+            t = w.decode("utf-8", "replace")
+            mark = MARKS.find(t[-1]) + 1 if len(t) > 1 else 0
+            body = t[:-1] if mark else t
+            if go := body.isalpha():
+                body = body.lower() if body.isascii() else body
+            else:
+                mark, body = 0, t
+            bodies.append(body)
+            marks.append(mark)
+            plain.append(go)
+        new = dict.fromkeys((b, p) for b, p in zip(bodies, plain, strict=True) if b not in self.units)
+        letters, others = [b for b, p in new if p], [b for b, p in new if not p]
+        self._add(letters, self._letters(letters))
+        self._add(others, self._each(others))
+        self.known.update(zip(words, [3 * self.units[b] + m for b, m in zip(bodies, marks, strict=True)], strict=True))
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, each with ``end`` after it; their offsets)."""
-        if len(self.known) > self.most:
+        if len(self.units) > self.most_units:
             self._clear()
+        if len(self.known) > self.most_words:
+            self.known.clear()
         words, n = [], []
         for t in texts:
             w = t.split()
@@ -103,12 +151,18 @@ class WordEncoder:
         if None in codes:
             self._learn(list(dict.fromkeys(w for w, c in zip(words, codes, strict=True) if c is None)))
             codes = list(map(self.known.get, words))
-        code = np.array(codes, np.int64)
-        size = np.diff(self.at)[code]
-        total = np.r_[0, np.cumsum(size)]
-        got = self.ids[np.repeat(self.at[code] - total[:-1], size) + np.arange(total[-1])]
-        ends = total[np.cumsum(n)]
-        return np.insert(got, ends, end), np.r_[0, ends + np.arange(1, len(texts) + 1)]
+        unit, mark = np.divmod(np.array(codes, np.int64), 3)
+        first, size = self.at[unit], self.at[unit + 1] - self.at[unit]
+        total = np.r_[0, np.cumsum(size + (mark > 0))]
+        ends = total[np.cumsum(n)] + np.arange(len(texts))  # each earlier text has an end id
+        begin = total[:-1] + np.repeat(np.arange(len(texts)), n)
+        out = np.full(int(total[-1]) + len(texts), end, np.uint32)
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(begin, size) + step] = self.ids[np.repeat(first, size) + step]
+        for k, ids in enumerate(self.marks, 1):
+            at = mark == k
+            out[begin[at] + size[at]] = ids[0]
+        return out, np.r_[0, ends + 1]
 
 
 def _encoder(path: str) -> WordEncoder:
