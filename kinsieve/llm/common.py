@@ -31,20 +31,35 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/kinsieve/{name}-{uuid.uuid4().hex}"
 
 
+_MADE: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again; this cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    for made in _MADE:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a materialized table that no later plan reads."""
-    spark = df.sparkSession
-    with contextlib.suppress(Exception):
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
+@contextlib.contextmanager
+def tables_made() -> Iterator[list[str]]:
+    """The paths of tables materialized inside the block."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield made
+    finally:
+        _MADE.remove(made)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete materialized tables that no later plan reads."""
+    for p in paths:
+        with contextlib.suppress(Exception):  # the session may have ended
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
