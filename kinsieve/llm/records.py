@@ -76,7 +76,7 @@ class WordEncoder:
     word's ids are kept while the process runs, up to a bound.
     """
 
-    def __init__(self, path: str, most_words: int = 300_000, most_units: int = 1_100_000):
+    def __init__(self, path: str, most_words: int = 450_000, most_units: int = 1_100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -91,6 +91,7 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
+        self.older: dict[bytes, int] = {}  #: the words known before the last bound was reached; those met again move on
         self.known: dict[bytes, int] = {}  #: a word as it stands: number of its unit, times 3, and which mark follows
         self.units: dict[str, int] = {}  #: what is encoded: letters without a mark, or any other word
         self.ids, self.at = np.zeros(1 << 16, np.uint16 if self.vocab <= 1 << 16 else np.uint32), np.zeros(1, np.int64)
@@ -130,8 +131,8 @@ class WordEncoder:
             bodies.append(body)
             marks.append(mark)
             plain.append(go)
-        new = dict.fromkeys((b, p) for b, p in zip(bodies, plain, strict=True) if b not in self.units)
-        letters, others = [b for b, p in new if p], [b for b, p in new if not p]
+        new = {b: p for b, p in zip(bodies, plain, strict=True) if b not in self.units}
+        letters, others = [b for b, p in new.items() if p], [b for b, p in new.items() if not p]
         self._add(letters, self._letters(letters))
         self._add(others, self._each(others))
         self.known.update(zip(words, [3 * self.units[b] + m for b, m in zip(bodies, marks, strict=True)], strict=True))
@@ -141,7 +142,7 @@ class WordEncoder:
         if len(self.units) > self.most_units:
             self._clear()
         if len(self.known) > self.most_words:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         words, n = [], []
         for t in texts:
             w = t.split()
@@ -149,7 +150,10 @@ class WordEncoder:
             n.append(len(w))
         codes = list(map(self.known.get, words))
         if None in codes:
-            self._learn(list(dict.fromkeys(w for w, c in zip(words, codes, strict=True) if c is None)))
+            new = list(dict.fromkeys([w for w, c in zip(words, codes, strict=True) if c is None]))
+            found = list(map(self.older.get, new))
+            self.known.update((w, c) for w, c in zip(new, found, strict=True) if c is not None)
+            self._learn([w for w, c in zip(new, found, strict=True) if c is None])
             codes = list(map(self.known.get, words))
         unit, mark = np.divmod(np.array(codes, np.int64), 3)
         first, size = self.at[unit], self.at[unit + 1] - self.at[unit]
