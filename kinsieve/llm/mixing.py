@@ -94,7 +94,7 @@ def mix(docs: DataFrame, weights: dict[str, float], block_chars: int, period: in
     keep = [c for c in docs.columns if c not in new]
     named = F.when(F.col(source_col).isin(*[s for s in weights if s != OTHER]), F.col(source_col)).otherwise(F.lit(OTHER))
     size = F.coalesce(F.length("text") if length is None else length, F.lit(0)).cast("bigint")
-    rows = docs.select(*keep, named.alias("mix_source"), size.alias("_size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_order"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), named.alias("mix_source"), size.alias("_size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_order"))
     rows = rows.withColumn("_range", F.substring("_order", 1, RANGE_DIGITS))
     sums = rows.groupBy("mix_source", "_range").agg(F.sum("_size").alias("_sum"))
     before = Window.partitionBy("mix_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -116,4 +116,4 @@ def mix(docs: DataFrame, weights: dict[str, float], block_chars: int, period: in
     run = F.get(F.filter("_runs", lambda r: (r["first"] <= F.col("mix_block")) & (F.col("mix_block") < r["last"])), F.lit(0))
     out = out.withColumn("_run", run).withColumn("_in", F.col("mix_block") - F.col("_run.first"))
     slot = F.col("_run.slot") + F.expr("_in div _run.share") * F.col("_run.size") + F.expr("get(_run.slots, cast(_in % _run.share as int))")
-    return out.select(*keep, "mix_source", "mix_block", slot.alias("mix_slot"), "mix_start")
+    return out.select("row.*", "mix_source", "mix_block", slot.alias("mix_slot"), "mix_start")

@@ -63,7 +63,8 @@ def filter_captures(captures: DataFrame, events: DataFrame, url_col: str = "url"
     """
     spans = validity_intervals(events)
     new = ["host", "n_active", "category", "pattern", "blocked"]
-    base = captures.select(*[c for c in captures.columns if c not in new]).withColumns({"host": host_of(F.col(url_col)), "_segment": first_segment(F.col(url_col))})
+    keep = F.struct(*[F.col(f"`{c}`") for c in captures.columns if c not in new]).alias("row")  # columns of any name
+    base = captures.select(keep, host_of(F.col(url_col)).alias("host"), first_segment(F.col(url_col)).alias("_segment"), F.col(time_col).alias("_time"))
     hosts = base.select("host").where("host is not null").distinct()
     keys = hosts.select("host", F.explode(parents("host")).alias("pattern_host"))
     listed = spans.withColumn("pattern_host", F.when(F.col("kind") == "path", F.substring_index("pattern", "/", 1)).otherwise(F.col("pattern")))
@@ -71,7 +72,7 @@ def filter_captures(captures: DataFrame, events: DataFrame, url_col: str = "url"
     mine = keys.join(listed, "pattern_host").where((F.col("kind") == "domain") | (F.col("host") == F.col("pattern_host")))
     entry = F.struct((-F.length("pattern")).alias("rank"), "kind", "pattern", "category", "segment", "valid_from", "valid_to")
     of_host = mine.groupBy("host").agg(F.sort_array(F.collect_list(entry)).alias("_entries"))  # the changes of a host's patterns, not its captures
-    at, here = F.col(time_col), F.col("_segment")
+    at, here = F.col("_time"), F.col("_segment")
 
     def holds(e: Column) -> Column:
         return (e["valid_from"] <= at) & (e["valid_to"].isNull() | (at < e["valid_to"])) & (e["segment"].isNull() | (e["segment"] == here))
@@ -80,4 +81,4 @@ def filter_captures(captures: DataFrame, events: DataFrame, url_col: str = "url"
     out = base.join(of_host, "host", "left").withColumn("_active", active)
     out = out.withColumns({"n_active": F.size("_active").cast("bigint"), "category": F.get("_active", F.lit(0))["category"], "pattern": F.get("_active", F.lit(0))["pattern"]})
     out = out.withColumn("blocked", F.col("n_active") > 0)
-    return out.select(*[c for c in captures.columns if c not in new], *new)
+    return out.select("row.*", *new)
