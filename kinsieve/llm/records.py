@@ -148,24 +148,35 @@ class WordEncoder:
             w = t.split()
             words += w
             n.append(len(w))
-        codes = list(map(self.known.get, words))
-        if None in codes:
-            new = list(dict.fromkeys([w for w, c in zip(words, codes, strict=True) if c is None]))
+        code = np.array(list(map(self.known.get, words)), np.float64)  # not known: nan
+        miss = np.flatnonzero(np.isnan(code))
+        code[miss] = 0
+        code = code.astype(np.int32)
+        if len(miss):
+            missing = [words[k] for k in miss.tolist()]
+            new = list(dict.fromkeys(missing))
             found = list(map(self.older.get, new))
-            self.known.update((w, c) for w, c in zip(new, found, strict=True) if c is not None)
+            self.known.update([(w, c) for w, c in zip(new, found, strict=True) if c is not None])
             self._learn([w for w, c in zip(new, found, strict=True) if c is None])
-            codes = list(map(self.known.get, words))
-        unit, mark = np.divmod(np.array(codes, np.int64), 3)
+            code[miss] = list(map(self.known.__getitem__, missing))
+        unit = code // 3
+        mark = code - 3 * unit
         first, size = self.at[unit], self.at[unit + 1] - self.at[unit]
         total = np.r_[0, np.cumsum(size + (mark > 0))]
         ends = total[np.cumsum(n)] + np.arange(len(texts))  # each earlier text has an end id
         begin = total[:-1] + np.repeat(np.arange(len(texts)), n)
         out = np.full(int(total[-1]) + len(texts), end, np.uint32)
-        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        out[np.repeat(begin, size) + step] = self.ids[np.repeat(first, size) + step]
         for k, ids in enumerate(self.marks, 1):
-            at = mark == k
+            at = np.flatnonzero(mark == k)
             out[begin[at] + size[at]] = ids[0]
+        step, left = 0, np.flatnonzero(size)
+        begin, first, size = begin[left], first[left], size[left]
+        while len(first):  # the ids of all words at once, one place after another
+            out[begin + step] = self.ids[first + step]
+            step += 1
+            go = np.flatnonzero(size > step)
+            if len(go) < len(size):
+                begin, first, size = begin[go], first[go], size[go]
         return out, np.r_[0, ends + 1]
 
 
