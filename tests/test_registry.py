@@ -55,3 +55,11 @@ def test_the_entry_works_without_the_text_operators(monkeypatch):
     monkeypatch.setattr(entry, "_has", lambda name: False)
     assert set(entry.queries()) == set(catalogue.QUERIES) and set(entry.oracle_sql()) == set(catalogue.ORACLE_SQL)
     assert "kinsieve.plans.catalogue" in sys.modules
+
+
+def test_public_names():
+    import kinsieve
+
+    assert all(getattr(kinsieve, name) is not None for name in kinsieve.__all__)
+    with pytest.raises(AttributeError):
+        kinsieve.nothing  # noqa: B018
