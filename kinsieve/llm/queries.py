@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import url_query
+from . import sql, url_query
 from .common import crc_fold, fresh_path, read_table
 from .language import LanguageParams, identify, learn_from
 from .lattice import near_duplicate_vectors
@@ -88,4 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": url_query.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": url_query.SQL,
+    "op3_suffix_dedup": sql.SUFFIX_DEDUP,
+    "op5_embedding_near_dedup": sql.EMBEDDING_NEAR_DEDUP,
+}
