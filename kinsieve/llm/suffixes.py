@@ -17,12 +17,13 @@ So suffixes are dealt and sorted by anchor:
 Splitters fall between different tokens only, so equal strings always meet in one bucket
 and the comparison across a boundary is between different tokens; no run goes on beyond it.
 What a bucket gets of a frequent string is one copy from each pack, not one from each
-document.
+document. A token that many packs have may stand in very many different contexts; its
+strings are dealt one by one, by their own hash, so that no range has to hold them all.
 """
 
 from __future__ import annotations
 
-import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ TOKEN = 16
 PACK_BYTES = 4 << 20
 #: Bytes of text for which there is one bucket; splitters are held on the driver, so their number has a bound.
 BUCKET_BYTES, MOST_BUCKETS = 6 << 20, 1 << 16
+#: A token that this many packs have is a frequent one.
+FREQUENT_PACKS = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
 _CHUNK = 1 << 19
@@ -272,8 +275,8 @@ def _tokens(id_col: str, length: int, buckets: int):
     return run
 
 
-def _shared_tokens(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each pack's hashes of this bucket, in their order, whether two documents have the token."""
+def _shared_tokens(pdf: pd.DataFrame, frequent: int) -> pd.DataFrame:
+    """For each pack's hashes of this bucket, in their order, whether two documents have the token, and then whether it is frequent."""
     got = [unsqueeze(x, np.uint64, np.uint8) for x in pdf["blob"]]
     hs = [np.cumsum(d, dtype=np.uint64) for d, _ in got]
     many = [np.unpackbits(m, count=len(h)).astype(bool) for (_, m), h in zip(got, hs, strict=True)]
@@ -281,9 +284,10 @@ def _shared_tokens(pdf: pd.DataFrame) -> pd.DataFrame:
     _, back, n = np.unique(h, return_inverse=True, return_counts=True)
     two = np.zeros(len(n), bool)
     np.logical_or.at(two, back, m)
-    m = (two | (n > 1))[back]
+    m, often = (two | (n > 1))[back], (n >= frequent)[back]
     cut = np.cumsum([len(x) for x in hs])[:-1]
-    return pd.DataFrame({"pack": pdf["pack"], "bucket": pdf["bucket"], "bits": [np.packbits(x).tobytes() for x in np.split(m, cut)]})
+    bits = lambda x: [np.packbits(part).tobytes() for part in np.split(x, cut)]
+    return pd.DataFrame({"pack": pdf["pack"], "bucket": pdf["bucket"], "bits": bits(m), "often": bits(often)})
 
 
 def _contexts(id_col: str, length: int, buckets: int, splitters: list[bytes]):
@@ -299,20 +303,31 @@ def _contexts(id_col: str, length: int, buckets: int, splitters: list[bytes]):
             for pack, texts, lens, rest, bits in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids = _ids(rest, id_col)
                 values, at, (anchor, _, first, last), doc, h, bucket, _, place = _sent(texts, lens, ids, length, buckets)
-                on = np.zeros(len(h), bool)
+                on, often = np.zeros(len(h), bool), np.zeros(len(h), bool)
                 cut = np.searchsorted(bucket, np.arange(buckets + 1))
                 for x in bits:
                     i, j = cut[x["bucket"]], cut[x["bucket"] + 1]
                     on[i:j] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=j - i).astype(bool)
-                go = np.flatnonzero(on[place])
+                    often[i:j] = np.unpackbits(np.frombuffer(x["often"], np.uint8), count=j - i).astype(bool)
                 raw = values.tobytes()
+                go = on[place]
+                anchor, doc, first, last, single = anchor[go], doc[go], first[go], last[go], often[place][go]
+                if single.any():  # each string of a frequent token by itself
+                    n = np.where(single, last - first + 1, 1)
+                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    anchor, doc, first, last, single = (np.repeat(x, n) for x in (anchor, doc, first, last, single))
+                    first, last = np.where(single, first + step, first), np.where(single, first + step, last)
+                go = np.arange(len(first))
                 known: dict[bytes, int] = {}
                 number = np.fromiter((known.setdefault(raw[x:y], len(known)) for x, y in zip(first[go].tolist(), (last[go] + length).tolist(), strict=True)), np.int64, len(go))
                 if not known:
                     continue
                 sample = np.empty(len(known), np.int64)
-                sample[number[::-1]] = anchor[go[::-1]]
-                to = np.fromiter((bisect_right(edges, int.from_bytes(raw[a : a + TOKEN], "big")) for a in sample.tolist()), np.int64, len(known))
+                sample[number[::-1]] = go[::-1]
+                at_token, by_itself = anchor[sample].tolist(), single[sample].tolist()
+                to = np.fromiter(
+                    (zlib.crc32(x) % buckets if alone else bisect_right(edges, int.from_bytes(raw[a : a + TOKEN], "big")) for x, a, alone in zip(known, at_token, by_itself, strict=True)), np.int64, len(known)
+                )
                 by_range = np.argsort(to, kind="stable")
                 new = np.empty(len(known), np.int64)
                 new[by_range] = np.arange(len(known))
@@ -456,8 +471,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     splitters = sorted({sample[k * len(sample) // buckets] for k in range(1, buckets)}) if sample else []
     inner = packs.select("pack", "texts", "lens", "rest")
     tokens = inner.mapInArrow(_tokens(id_col, length, buckets), "bucket int, pack bigint, blob binary")
-    bits = tokens.groupBy("bucket").applyInPandas(_shared_tokens, "pack bigint, bucket int, bits binary")
-    bits = bits.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits"))
+    frequent = FREQUENT_PACKS
+    bits = tokens.groupBy("bucket").applyInPandas(lambda pdf: _shared_tokens(pdf, frequent), "pack bigint, bucket int, bits binary, often binary")
+    bits = bits.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits", "often")).alias("bits"))
     contexts = inner.join(bits, "pack").select("pack", "texts", "lens", "rest", "bits").mapInArrow(_contexts(id_col, length, buckets, splitters), "bucket int, pack bigint, blob binary")
     spans = contexts.groupBy("bucket").applyInPandas(_repeats(length), "pack bigint, spans binary")
     spans = materialize(spans, "suffix-spans").groupBy("pack").agg(F.collect_list("spans").alias("spans"))

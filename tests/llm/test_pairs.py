@@ -71,7 +71,9 @@ def test_suffix_removal_matches_brute_force(spark):
     assert sorted(digest_rows(suffixes.remove_repeats(docs))) == sorted(want)
 
 
-def test_suffix_removal_over_many_packs_and_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("frequent", [1, 3, 256])
+def test_suffix_removal_over_many_packs_and_buckets(spark, monkeypatch, frequent):
+    monkeypatch.setattr(suffixes, "FREQUENT_PACKS", frequent)
     monkeypatch.setattr(suffixes, "PACK_BYTES", 3000)
     monkeypatch.setattr(suffixes, "BUCKET_BYTES", 2000)
     rows = [(k, texts.prose(k % 7, 50) + texts.prose(50 + k, 30) + "-" * (k * 9)) for k in range(60)]
