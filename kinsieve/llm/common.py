@@ -105,11 +105,3 @@ def byte_slices(array: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
         yield i, j, values[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
-
-
-def empty_output(schema: str):
-    """An Arrow schema of a DDL string, for building output batches."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema))

@@ -76,15 +76,15 @@ def pack(docs: DataFrame, capacity: int, per_source: int = 2, id_col: str = "doc
     size = F.regexp_count("text", F.lit(WORD)) + 1 if length is None else length
     same = F.md5("text") if cluster is None else cluster
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), same.cast("string").alias("cluster"), F.coalesce(size, F.lit(1)).cast("bigint").alias("size"))
-    rows = materialize(rows, "pack-rows")  # ids and numbers, not texts
+    rows = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "pack-rows")  # ids and numbers, not texts; rows may repeat
     shards = max(1, -(-rows.count() // SHARD_ROWS))
     full = F.expr(f"size div {int(capacity)}")
-    whole = rows.where(full > 0).select("doc_id", "source", "cluster", F.explode(F.sequence(F.lit(0).cast("bigint"), full - 1)).alias("piece"))
-    # a whole window is a bin of its own, named by its text and place
-    name = F.format_string("w-%016x-%d", F.xxhash64("doc_id", "cluster"), F.col("piece"))
+    whole = rows.where(full > 0).select("doc_id", "source", "uid", F.explode(F.sequence(F.lit(0).cast("bigint"), full - 1)).alias("piece"))
+    # a whole window is a bin of its own, named by its row and place
+    name = F.format_string("w-%d-%d", F.col("uid"), F.col("piece"))
     whole = whole.select("doc_id", "source", "piece", (F.col("piece") * capacity).alias("start"), F.lit(capacity).cast("bigint").alias("n_tokens"), name.alias("bin_id"), F.lit(0).cast("bigint").alias("bin_offset"))
-    rest = rows.where(F.col("size") % capacity > 0).select("doc_id", "source", "cluster", full.alias("piece"), (F.col("size") % capacity).alias("n_tokens"))
-    rest = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)))
+    rest = rows.where(F.col("size") % capacity > 0).select("uid", "doc_id", "source", "cluster", full.alias("piece"), (F.col("size") % capacity).alias("n_tokens"))
+    rest = rest.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

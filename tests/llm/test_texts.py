@@ -2,7 +2,6 @@
 
 import datetime
 import io
-import os
 import zlib
 
 import numpy as np
@@ -10,7 +9,6 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-import brute
 import texts
 from kinsieve.llm import language, mixing, packing, quality, queries, records, textstats, toxicity, urls
 from kinsieve.llm.common import py_fold, shared_dir
@@ -288,7 +286,10 @@ def check_pack(got, rows, capacity, per_source):
 
 def test_pack_keeps_every_token_and_conflict(spark):
     docs = texts.clashing(texts.edge_docs(spark))
-    check_pack(packing.pack(docs, 64).collect(), [(r[0], r[1]) for r in texts.edge_rows()], 64, 2)
+    rows = [(r[0], r[1]) for r in texts.edge_rows()]
+    check_pack(packing.pack(docs, 64).collect(), rows, 64, 2)
+    again = docs.unionByName(docs.where("doc_id = 10")).unionByName(docs.where("doc_id = 10"))  # long rows that repeat
+    check_pack(packing.pack(again, 64).collect(), rows + [r for r in rows if r[0] == 10] * 2, 64, 2)
     assert packing.pack(texts.empty_docs(spark), 64).count() == 0
 
 
