@@ -48,7 +48,7 @@ WINDOW_TOKENS = 2048
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("n_chars"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").cast("bigint").alias("n_chars"))
     return mix(docs, WEIGHTS, BLOCK_CHARS, length=F.col("n_chars"))
 
 
@@ -92,4 +92,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": url_query.SQL,
     "op3_suffix_dedup": sql.SUFFIX_DEDUP,
     "op5_embedding_near_dedup": sql.EMBEDDING_NEAR_DEDUP,
+    "op6_mixing": sql.mixing(WEIGHTS, BLOCK_CHARS),
 }
