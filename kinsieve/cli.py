@@ -13,7 +13,7 @@ from kinsieve.operators import sampling, synth
 from kinsieve.plans import experiments as ex
 from kinsieve.plans.resolve import Resolver, as_response, render
 from kinsieve.sources import voter
-from kinsieve.sources.records import FIELDS, query_frame, read_people, with_row_number, write_csv, write_document
+from kinsieve.sources.records import FIELDS, compact, query_frame, read_people, with_row_number, write_csv, write_document
 from kinsieve.sources.store import ParquetStore
 
 
@@ -65,8 +65,7 @@ def _population(spark: SparkSession, a: argparse.Namespace):
 
 
 def _voters(spark: SparkSession, path: str):
-    rows = voter.load_people(spark, path)
-    return with_row_number(rows.orderBy("row_no").drop("row_no", "voter_reg_num"), "position").cache()
+    return compact(voter.load_people(spark, path).drop("voter_reg_num").withColumnRenamed("row_no", "position")).cache()
 
 
 def _variants(spark: SparkSession, people, a: argparse.Namespace):

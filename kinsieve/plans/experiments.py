@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from kinsieve.functions.text import person_text
 from kinsieve.operators import blocking, comparison, evaluation as ev, knn, sampling, scoring, synth, training
 from kinsieve.operators.model import TAU, LinkModel
-from kinsieve.sources.records import with_row_number
+from kinsieve.sources.records import compact
 from kinsieve.sources.store import ParquetStore
 
 from .resolve import Resolver
@@ -160,7 +160,7 @@ def duplicate_benchmark(spark: SparkSession, count: int, match_rate: float = 0.0
     fields = ["first_name", "last_name", "date_of_birth", "address", "email"]
     n = twinned.count()
     reference = synth.duplicate_bearing(people, synth.introduce_variations(twinned, seed=seed + 2, require_change=True), count)
-    reference = with_row_number(reference.orderBy("position").select("origin", *fields), "position").cache()
+    reference = compact(reference.select("position", *fields)).cache()
     fresh = synth.introduce_variations(twinned, seed=seed + 3, require_change=True)
     strangers = synth.generate_people(spark, n, seed=seed + 1)
     cases = (

@@ -6,7 +6,7 @@ import json
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -72,7 +72,10 @@ def write_metrics(tables: list[DataFrame], path: str) -> DataFrame:
 
 
 def with_row_number(df: DataFrame, name: str = "row_no") -> DataFrame:
-    """A dense number in the order in which the rows are read, without bringing them to one task: offsets of the partitions are summed on the driver."""
+    """A dense number in the order in which the rows are read, without bringing them to one task: offsets of the partitions are summed on the driver.
+
+    The rows must come in the same partitions each time they are read, as from files; of a sorted table use ``compact`` on its key.
+    """
     spark = df.sparkSession
     tagged = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33).cast("int"))
     sizes = sorted((r["_part"], r["count"]) for r in tagged.groupBy("_part").count().collect())  # a row for each partition
@@ -85,5 +88,15 @@ def with_row_number(df: DataFrame, name: str = "row_no") -> DataFrame:
     return tagged.join(F.broadcast(start), "_part").withColumn(name, number).drop("_id", "_part", "_base")
 
 
+def compact(df: DataFrame, name: str = "position") -> DataFrame:
+    """Numbers with gaps made dense, in their order: how far a row moves up is the sum of the rows in earlier blocks of numbers, so no task sorts all rows."""
+    size = 1 << 16
+    rows = df.withColumn("_block", F.expr(f"`{name}` div {size}"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("_block").agg(F.count("*").alias("n")).select("_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))  # a row for 65,536 numbers
+    place = F.row_number().over(Window.partitionBy("_block").orderBy(name)) - 1
+    return rows.withColumn("_place", place).join(base, "_block").withColumn(name, F.col("_base") + F.col("_place")).select(df.columns)
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(F.trim(c) != "", F.trim(c))

@@ -43,6 +43,12 @@ def test_row_numbers_are_dense(spark):
     assert sorted(r.row_no for r in got) == list(range(1000))
 
 
+def test_numbers_become_dense_in_order(spark):
+    rows = spark.range(500).selectExpr("id * 1000 + 7 as position", "id").repartition(9)
+    assert all(r.position == r.id for r in records.compact(rows).collect())
+    assert records.compact(rows.where("false")).count() == 0
+
+
 def test_metrics_of_different_columns(spark, tmp_path):
     one, two = spark.createDataFrame([(1, 2.0)], "b int, a double"), spark.createDataFrame([(3,)], "c int")
     assert records.write_metrics([one, two], str(tmp_path / "m")).columns == ["a", "b", "c"]
@@ -174,6 +180,19 @@ def test_voter_experiments(spark):
     assert got["result"]["tp"] + got["result"]["fn"] == 10 and got["result"]["fp"] + got["result"]["tn"] == 10
 
 
+def test_duplicate_benchmark(spark):
+    got = ex.duplicate_benchmark(spark, 60, 0.2, k=5, max_pairs=2000)
+    assert set(got) == {"untrained", "supervised", "em"} and got["untrained"]["result"]["tp"] + got["untrained"]["result"]["fn"] == 12
+
+
+def test_surface(spark):
+    people, cases = ex.population(spark, 20, seed=4)
+    from kinsieve.operators.model import LinkModel
+
+    got = ex.surface_experiment(people, cases, {"untrained": LinkModel.untrained()}, [1e-4, 1e-2], [0.5, 0.9], k=5)
+    assert len(got["untrained"]["surface"]) == 4 and got["untrained"]["best"]["f1"] > 0
+
+
 def test_command_line(spark, tmp_path):
     out = str(tmp_path / "store")
     cli.run(spark, ["generate", "--count", "30", "--output-dir", out])
