@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinsieve.operators.synth import CITIES, DOMAINS, FIRST, LAST, STREETS
+from kinsieve.sources.records import spread
 
 FIELDS = ["first_name", "last_name", "date_of_birth", "address", "email"]
 UNRELATED = 1_000_003
@@ -24,6 +25,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def customer_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read(spark, sf_dir, "customer").select("c_custkey"))
+
+
 def _pick(values: list[str], at: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (1 + at).cast("int"))
 
@@ -47,7 +52,7 @@ def person_columns(i: Column) -> dict[str, Column]:
 
 
 def person(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("position")).select("position", *[c.alias(n) for n, c in person_columns(F.col("position")).items()])
+    return customer_keys(spark, sf_dir).select(F.col("c_custkey").alias("position")).select("position", *[c.alias(n) for n, c in person_columns(F.col("position")).items()])
 
 
 def _swap(c: Column) -> Column:
@@ -70,7 +75,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((k == 3) | (k == 5), null).otherwise(F.col("email")).alias("email"),
     )
     other = {n: c.alias(n) for n, c in person_columns(F.col("c_custkey") + UNRELATED).items()}
-    unrelated = read(spark, sf_dir, "customer").select((F.col("c_custkey") + UNRELATED_ID).alias("query_id"), F.lit("unrelated").alias("category"), F.lit(False).alias("expected_match"), F.lit(None).cast("bigint").alias("true_position"), *other.values())
+    unrelated = customer_keys(spark, sf_dir).select((F.col("c_custkey") + UNRELATED_ID).alias("query_id"), F.lit("unrelated").alias("category"), F.lit(False).alias("expected_match"), F.lit(None).cast("bigint").alias("true_position"), *other.values())
     return own.unionByName(unrelated)
 
 
@@ -80,7 +85,7 @@ def close_person(people: DataFrame) -> DataFrame:
 
 
 def unrelated_person(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("position"), *[c.alias(n) for n, c in person_columns(F.col("c_custkey") + UNRELATED).items()])
+    return customer_keys(spark, sf_dir).select(F.col("c_custkey").alias("position"), *[c.alias(n) for n, c in person_columns(F.col("c_custkey") + UNRELATED).items()])
 
 
 def _list(values: list[str]) -> str:

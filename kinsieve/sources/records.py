@@ -88,6 +88,12 @@ def with_row_number(df: DataFrame, name: str = "row_no") -> DataFrame:
     return tagged.join(F.broadcast(start), "_part").withColumn(name, number).drop("_id", "_part", "_base")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores dealt to all of them: what joins make of a small file's rows would otherwise be one task. A larger scan stays as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def compact(df: DataFrame, name: str = "position") -> DataFrame:
     """Numbers with gaps made dense, in their order: how far a row moves up is the sum of the rows in earlier blocks of numbers, so no task sorts all rows."""
     size = 1 << 16
