@@ -42,8 +42,13 @@ def shingle_digests(text: bytes, width: int) -> list[bytes]:
 
 def fold(digests: list[list[bytes]]) -> np.ndarray:
     """A fingerprint for each list of digests: a bit is 1 if set in over half of them; no digests: 0."""
-    n = np.array([len(d) for d in digests], np.int64)
-    flat = np.frombuffer(b"".join(x for d in digests for x in d), np.uint8).reshape(-1, 8)
+    return fold_bytes(np.frombuffer(b"".join(x for d in digests for x in d), np.uint8), [len(d) for d in digests])
+
+
+def fold_bytes(flat: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """``fold`` of digests whose bytes stand one after another, of each list as many as ``sizes`` says."""
+    n = np.array(sizes, np.int64)
+    flat = flat.reshape(-1, 8)
     owner = np.repeat(np.arange(len(n)), n)
     bits = np.zeros((len(n), 64), np.int64)
     for k in range(8):

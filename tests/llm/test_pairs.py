@@ -170,6 +170,16 @@ def test_similar_sets_match_brute_force(spark, monkeypatch):
     assert got == jaccard_groups(rows)
 
 
+def test_near_copies_with_repeated_lines_are_found(spark):
+    rows = []
+    for k in range(12):
+        body = " ".join(f"w{k}x{i}" for i in range(600))
+        lines = [" ".join(f"l{k}y{j}z{i}" for i in range(10)) for j in range(2)]
+        rows += [(10 * k, body), (10 * k + 1, body + (" " + lines[0]) * (50 + 13 * k)), (10 * k + 2, body + " " + lines[1] + (" " + lines[0]) * 200), (10 * k + 3, body + " " + lines[0] + (" " + lines[1]) * 200)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == jaccard_groups(rows)
+
+
 def test_one_of_each_group_stays(spark):
     docs = texts.clashing(texts.edge_docs(spark))
     got = neardup.one_of_each_group(docs)
