@@ -7,21 +7,27 @@ compatible: its bitmap of duplicate clusters lacks the piece's, and its bitmaps
 one. A text longer than a window fills whole windows of its own, and the rest is packed.
 
 Pieces are dealt to shards of a bounded number of rows by a hash, so hot sources and large
-clusters spread over all shards, and each shard is packed by itself.
+clusters spread over all shards, and each shard is packed by itself. Where rows have an order
+to keep, shards are runs of it instead, short ones, and a bin's name tells its first piece's
+place, so that bins by name follow the order.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinsieve.sources.records import compact
+
 from .common import materialize
 
 SHARD_ROWS = 16384
+#: Rows of a shard where an order is kept: a bin's texts stand no further apart in it.
+ORDERED_ROWS = 2048
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -64,36 +70,49 @@ def _bits(keys: pd.Series) -> list[int]:
     return [number.get(k, 0) for k in keys.where(keys.notna(), None)]
 
 
-def pack(docs: DataFrame, capacity: int, per_source: int = 2, id_col: str = "doc_id", source_col: str = "source", cluster: Column | None = None, length: Column | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int, per_source: int = 2, id_col: str = "doc_id", source_col: str = "source", cluster: Column | None = None, length: Column | None = None, order: Sequence[str] = ()) -> DataFrame:
     """Pieces ``(doc_id, source, piece, start, n_tokens, bin_id, bin_offset)``; every token of every row is in one piece.
 
     A row's length is its words and an end token, or ``length``; its cluster is the md5 of the text, or ``cluster``. A bin holds no two
     pieces of a cluster and at most ``per_source`` of a source; rows with a null source or cluster conflict with nothing there. Null and
-    empty texts are one end token. Equal pieces stand by id and cluster. An empty table gives no rows.
+    empty texts are one end token. Equal pieces stand by id and cluster. An empty table gives no rows. With ``order`` (columns) bins hold
+    rows of a run of ``ORDERED_ROWS`` in that order, and their names sorted follow it.
     """
     if capacity < 1 or per_source < 1:
         raise ValueError("capacity and per_source must be 1 or more")
     size = F.regexp_count("text", F.lit(WORD)) + 1 if length is None else length
     same = F.md5("text") if cluster is None else cluster
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), same.cast("string").alias("cluster"), F.coalesce(size, F.lit(1)).cast("bigint").alias("size"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), same.cast("string").alias("cluster"), F.coalesce(size, F.lit(1)).cast("bigint").alias("size"), *[F.col(c).alias(f"_by{k}") for k, c in enumerate(order)])
+    by = [f"_by{k}" for k in range(len(order))]
+    rows = rows.orderBy(*by).drop(*by) if order else rows
     rows = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "pack-rows")  # ids and numbers, not texts; rows may repeat
-    shards = max(1, -(-rows.count() // SHARD_ROWS))
+    rows = materialize(compact(rows, "uid"), "pack-order") if order else rows  # places without gaps
     full = F.expr(f"size div {int(capacity)}")
     whole = rows.where(full > 0).select("doc_id", "source", "uid", F.explode(F.sequence(F.lit(0).cast("bigint"), full - 1)).alias("piece"))
     # a whole window is a bin of its own, named by its row and place
-    name = F.format_string("w-%d-%d", F.col("uid"), F.col("piece"))
+    name = F.format_string("%012d-%09d" if order else "w-%d-%d", F.col("uid"), F.col("piece"))
     whole = whole.select("doc_id", "source", "piece", (F.col("piece") * capacity).alias("start"), F.lit(capacity).cast("bigint").alias("n_tokens"), name.alias("bin_id"), F.lit(0).cast("bigint").alias("bin_offset"))
     rest = rows.where(F.col("size") % capacity > 0).select("uid", "doc_id", "source", "cluster", full.alias("piece"), (F.col("size") % capacity).alias("n_tokens"))
-    rest = rest.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)))
+    if order:
+        rest = rest.withColumn("shard", F.expr(f"uid div {int(ORDERED_ROWS)}"))
+    else:
+        rest = rest.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(max(1, -(-rows.count() // SHARD_ROWS)))))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "doc_id", "cluster", "source"], ascending=[False, True, True, True], kind="stable")
+        keys = ["uid"] if order else ["doc_id", "cluster", "source"]
+        pdf = pdf.sort_values(["n_tokens", *keys], ascending=[False, *[True] * len(keys)], kind="stable")
         got = best_fit(zip(pdf["n_tokens"].tolist(), _bits(pdf["source"]), _bits(pdf["cluster"]), strict=True), capacity, per_source)
         shard = int(pdf["shard"].iloc[0])
         out = pdf[["doc_id", "source", "piece"]].copy()
         out["start"], out["n_tokens"] = pdf["piece"] * capacity, pdf["n_tokens"]
-        out["bin_id"] = [f"s-{shard}-{b}" for b, _ in got]
+        if order:
+            first: dict[int, tuple[int, int]] = {}
+            for (b, _), at in zip(got, zip(pdf["uid"].tolist(), pdf["piece"].tolist(), strict=True), strict=True):
+                first[b] = min(first.get(b, at), at)
+            out["bin_id"] = ["{:012d}-{:09d}".format(*first[b]) for b, _ in got]
+        else:
+            out["bin_id"] = [f"s-{shard}-{b}" for b, _ in got]
         out["bin_offset"] = [x for _, x in got]
         return out
 

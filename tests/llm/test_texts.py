@@ -381,3 +381,20 @@ def test_pipeline_runs(spark):
 
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.count() > 0 and got.groupBy("bin_id").agg(F.sum("n_tokens").alias("n")).where(f"n > {queries.WINDOW_TOKENS}").count() == 0
+
+
+def test_packing_keeps_the_mix(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(packing, "ORDERED_ROWS", 64, raising=False)
+    rows = [(k, texts.prose(k, 30 + k % 50), "en", "src0" if k % 3 == 0 else f"src{1 + k % 4}", 0) for k in range(900)]  # src0 has a third of all rows
+    docs = spark.createDataFrame(rows, texts.SCHEMA).repartition(7)
+    seen = {}
+    for hot in (1.0, 20.0):
+        monkeypatch.setattr(corpus_pipeline, "WEIGHTS", {"src0": hot, "src1": 3.0, "src2": 3.0, "src3": 3.0, "src4": 3.0, "other": 1.0})
+        monkeypatch.setattr(corpus_pipeline, "BLOCK_CHARS", 500)
+        got = corpus_pipeline.best_fit_packing(spark, docs, "").collect()
+        assert sorted(r.doc_id for r in got) == list(range(900))
+        front = sorted(got, key=lambda r: r.bin_id)[:300]
+        seen[hot] = sum(r.n_tokens for r in front if r.source == "src0") / sum(r.n_tokens for r in front)
+    assert seen[1.0] < 0.15 and seen[20.0] > 0.55  # targets 1/13 and 20/32; the raw share is a third
