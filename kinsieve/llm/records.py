@@ -33,6 +33,8 @@ from .common import byte_slices, n_shuffle
 
 _HEAD = struct.Struct("<BBq")
 _WORKER: dict[str, WordEncoder] = {}
+#: Words and units that a worker which only counts ids keeps at most.
+COUNT_WORDS, COUNT_UNITS = 150_000, 400_000
 
 
 def masked(data: bytes) -> int:
@@ -219,6 +221,27 @@ def _write(folder: str, tokenizer: str, end: int):
     return run
 
 
+def _count(tokenizer: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            last = b.num_columns - 1
+            for i, j, values, at in byte_slices(b.column(last), 1 << 20):
+                if (key := f"count {tokenizer}") not in _WORKER:
+                    _WORKER[key] = WordEncoder(tokenizer, COUNT_WORDS, COUNT_UNITS)
+                raw = values.tobytes()
+                _, cut = _WORKER[key].encode([raw[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], 0)
+                yield pa.record_batch([*(b.column(k).slice(i, j - i) for k in range(last)), pa.array(np.diff(cut))], [*b.schema.names[:-1], "n_ids"])
+
+    return run
+
+
+def count_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``n_ids`` in place of the text: its ids and an end id. Null and empty texts have the end id only."""
+    rest = [c for c in docs.columns if c != text_col]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
+    return docs.select(*rest, text_col).mapInArrow(_count(tokenizer), f"{kinds}, n_ids bigint")
+
+
 def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """Write the ids of every whole text, each with the end id, to shards in ascending id order; returns ``(shard, name, n_records, n_tokens, start)``.
 

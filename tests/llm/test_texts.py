@@ -398,3 +398,21 @@ def test_packing_keeps_the_mix(spark, monkeypatch):
         front = sorted(got, key=lambda r: r.bin_id)[:300]
         seen[hot] = sum(r.n_tokens for r in front if r.source == "src0") / sum(r.n_tokens for r in front)
     assert seen[1.0] < 0.15 and seen[20.0] > 0.55  # targets 1/13 and 20/32; the raw share is a third
+
+
+def test_pipeline_packs_token_ids(spark):
+    import collections
+
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got, bins = collections.Counter(), collections.Counter()
+    for r in corpus_pipeline.best_fit_packing(spark, texts.edge_docs(spark), "").collect():
+        got[r.doc_id] += r.n_tokens
+        bins[r.bin_id] += r.n_tokens
+    want = collections.Counter()
+    for r in texts.edge_rows():
+        want[r[0]] += len(plain.encode(r[1] or "", add_special_tokens=False).ids) + 1
+    assert got == want and max(bins.values()) == queries.WINDOW_TOKENS
