@@ -48,6 +48,59 @@ def _jaro_winkler_block(left: list[str], right: list[str]) -> np.ndarray:
     return np.where(jaro > BOOST_ABOVE, jaro + prefix * PREFIX_WEIGHT * (1 - jaro), jaro)
 
 
+def _reaches(na: int) -> np.ndarray:
+    """Bits of the places that each character of a string of ``na`` may match, by the other's length (0 to 64)."""
+    full = (1 << 64) - 1
+    reach = [max(max(na, nb) // 2 - 1, 0) for nb in range(65)]
+    return np.array([[((1 << (i + r + 1)) - 1) & full & ~((1 << max(i - r, 0)) - 1) for r in reach] for i in range(na)], np.uint64).reshape(na, 65)
+
+
+def jaro_winkler_cross(left: list[str], right: list[str]) -> np.ndarray:
+    """(left, right) similarity of each string with each; the places of a character in strings of up to 64 are the bits of one number."""
+    out = np.zeros((len(left), len(right)))
+    short = np.flatnonzero([len(v) <= 64 for v in right])
+    long = np.setdiff1d(np.arange(len(right)), short)
+    nb = np.array([len(right[k]) for k in short], np.int64)
+    places: dict[str, np.ndarray] = {}
+    for j, k in enumerate(short.tolist()):
+        for p, ch in enumerate(right[k]):
+            if ch not in places:
+                places[ch] = np.zeros(len(short), np.uint64)
+            places[ch][j] |= np.uint64(1 << p)
+    none, one = np.zeros(len(short), np.uint64), np.uint64(1)
+    near: dict[int, np.ndarray] = {}
+    for i, a in enumerate(left):
+        if len(a) > 64:
+            out[i] = _jaro_winkler_block([a] * len(right), right)
+            continue
+        if len(long):
+            out[i, long] = _jaro_winkler_block([a] * len(long), [right[k] for k in long.tolist()])
+        if not a or not len(short):
+            continue
+        if len(a) not in near:
+            near[len(a)] = _reaches(len(a))[:, nb]
+        at, taken, hits = [places.get(ch, none) for ch in a], none.copy(), []
+        for k, where in enumerate(at):
+            free = where & near[len(a)][k] & ~taken
+            low = free & (~free + one)
+            taken |= low
+            hits.append(low != 0)
+        m, left_over, turned = np.bitwise_count(taken).astype(np.int64), taken.copy(), np.zeros(len(short), np.int64)
+        for where, hit in zip(at, hits, strict=True):
+            low = np.where(hit, left_over & (~left_over + one), 0).astype(np.uint64)
+            turned += hit & ((where & low) == 0)
+            left_over ^= low
+        turned //= 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            jaro = np.where(m > 0, (m / len(a) + m / nb + (m - turned) / m) / 3, 0.0)
+        same, prefix = np.ones(len(short), bool), np.zeros(len(short), np.int64)
+        for k, where in enumerate(at[:PREFIX_MOST]):
+            same &= (where >> np.uint64(k)) & one == 1
+            prefix += same
+        out[i, short] = np.where(jaro > BOOST_ABOVE, jaro + prefix * PREFIX_WEIGHT * (1 - jaro), jaro)
+    return out
+
+
 def jaro_winkler_values(left: pd.Series, right: pd.Series) -> pd.Series:
     """Similarity of each pair, 0 to 1; null if either is null, 0 if either is empty. Case counts. Equal pairs of a batch are measured once."""
     out = np.full(len(left), np.nan)

@@ -161,6 +161,10 @@ def estimate_u_systematic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.u_frequencies(compared, cs).withColumn("u", F.round("u", 6))
 
 
+def estimate_u_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.u_all_pairs(X.person(spark, sf_dir), comparison.default_comparisons()).withColumn("u", F.round("u", 6))
+
+
 def estimate_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.prior_table(X.person(spark, sf_dir), training.TRAINING_RULES).select("n_pairs", F.round("prior", 9).alias("prior"))
 
@@ -180,7 +184,7 @@ QUERIES = {
     for f in (
         match_weights, match_probability, link_threshold, pipeline_resolve_batch, link_best_match, link_all_candidates, resolver_rule_filter, max_probability_per_query, matched_queries,
         confusion_matrix, confusion_by_category, classification_metrics, calibration_bins, latency_percentiles, mean_probability_by_truth, tau_sweep_f1, strength_tau_sweep,
-        best_operating_point, prior_tau_surface, calibrate_m_u, estimate_u_systematic, estimate_prior, em_patterns, em_fit,
+        best_operating_point, prior_tau_surface, calibrate_m_u, estimate_u_systematic, estimate_u_all_pairs, estimate_prior, em_patterns, em_fit,
     )
 }
 
@@ -252,6 +256,9 @@ ORACLE_SQL = {
     "estimate_u_systematic": f"""{X.BASE_SQL}, st as (select unnest([{', '.join(map(str, STEPS))}]) as step), cand as (select {_PAIRED} from person a cross join st join person b on b.position = (a.position + step) % (select count(*) from person) and a.position <> b.position),
       gam as (select {X.GAMMAS_SQL} from cand), long as ({_LONG.format(extra='')}), c as (select comparison, level, count(*) as n from long where level >= 0 group by all)
       select comparison, cast(level as int) as level, round(n / sum(n) over (partition by comparison), 6) as u from c""",
+    "estimate_u_all_pairs": f"""{X.BASE_SQL}, cand as (select {_PAIRED} from person a join person b on a.position < b.position),
+      gam as (select {X.GAMMAS_SQL} from cand), long as ({_LONG.format(extra='')}), c as (select comparison, level, count(*) as n from long where level >= 0 group by all)
+      select comparison, cast(level as int) as level, round(n / sum(n) over (partition by comparison), 6) as u from c""",
     "estimate_prior": f"""{X.BASE_SQL}, c as (select count(*) as n_pairs from person a join person b on a.position < b.position and (a.first_name = b.first_name or a.date_of_birth = b.date_of_birth))
       select n_pairs, round(least(n_pairs / 0.7::double / (select count(*) * (count(*) - 1) / 2 from person), 1.0), 9) as prior from c""",
     "em_patterns": f"""{X.BASE_SQL}, cand as (select {_PAIRED} from person a join person b on a.date_of_birth = b.date_of_birth and a.position < b.position), gam as (select {X.GAMMAS_SQL} from cand)

@@ -193,3 +193,33 @@ def test_training_skips_empty_rules(spark, people):
 def test_prior_counts_each_pair_once(people):
     r = training.prior_table(people, training.TRAINING_RULES, 0.5).first()
     assert (r.n_pairs, r.n_total) == (2, 10) and r.prior == pytest.approx(2 / 0.5 / 10)
+
+
+def test_u_counts_all_pairs(spark, people, monkeypatch):
+    monkeypatch.setattr(training, "TILE", 2)
+    cs = C.default_comparisons()
+    more = people.unionByName(people.withColumn("position", F.col("position") + 5)).unionByName(spark.createDataFrame([(10, "Z" * 80, "", "1990-01-30", "x" * 70, "@x.y"), (11, "Zé", "Lake", "no date", "", "é@x.y")], people.schema))
+    sides = [more.select(*[F.col(c).alias(f"{c}_{s}") for c in more.columns]) for s in "lr"]
+    pairs = sides[0].join(sides[1], F.col("position_l") < F.col("position_r"))
+    plain = lambda df: {(r.comparison, r.level): round(r.u, 9) for r in df.collect()}
+    assert plain(training.u_all_pairs(more, cs)) == plain(training.u_frequencies(C.compare(pairs, cs), cs))
+    assert training.u_all_pairs(more.where("false"), cs).count() == 0
+
+
+def test_u_of_all_pairs_has_the_exact_levels(spark):
+    """The person table is periodic: rows at fixed steps never share a first name or a birth date."""
+    from kinsieve.plans.catalogue import QUERIES
+
+    got = {(r.comparison, r.level): r.u for r in QUERIES["estimate_u_all_pairs"](spark, "/root/testdata/sf0.01").collect()}
+    assert 0.019 < got["first_name", 4] < 0.026 and got["date_of_birth", 5] > 0
+
+
+def test_jaro_winkler_of_each_with_each():
+    import pandas as pd
+
+    from kinsieve.functions import strings as S
+
+    rng = np.random.default_rng(0)
+    words = ["", "a", "é日", "x" * 64, "ab" * 40] + ["".join(rng.choice(list("abcd"), rng.integers(1, 66))) for _ in range(60)]
+    want = S.jaro_winkler_values(pd.Series([a for a in words for _ in words]), pd.Series(words * len(words))).to_numpy(float)
+    assert (S.jaro_winkler_cross(words, words).ravel() == want).all()
