@@ -17,6 +17,7 @@ name only when whole, so tasks that run twice or are lost leave no half shard.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -69,14 +70,39 @@ def unpack_ids(data: bytes) -> tuple[int | None, np.ndarray]:
 
 
 MARKS = ".,"
+#: Fixed value: the split pattern of word BPE. No alternative matches white space or looks around, so a word's pieces do not depend on the words beside it.
+WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters that may be told apart from a mark after them: A-Z, a-z and the Latin letters up to here, if the tokenizer treats them so (``_plain_letters``).
+LAST_LATIN = 0x24F
 
 
-class WordEncoder:
-    """Ids of texts by a tokenizer that encodes white-space separated words one by one.
+def word_by_word(config: dict) -> bool:
+    """Whether a tokenizer's ids of a text are, one after another, those of its words between ASCII white space.
 
-    This holds where the tokenizer drops white space, parts letters from marks and reads A-Z as a-z, as word BPE with word ends does. A
-    word's ids are kept while the process runs, up to a bound.
+    Every step must be local to a word: NFC (nothing joins with white space), lower-casing (a character at a time), white space to one space,
+    a split that keeps only matches of ``WORD_PIECES``, bytes without a prefix, merges without chance, and added tokens that neither have
+    white space in them nor take it in.
     """
+    norm, pre, model = config.get("normalizer") or {}, config.get("pre_tokenizer") or {}, config["model"]
+    steps = norm.get("normalizers", [norm] if norm else [])
+    space = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    parts = pre.get("pretokenizers", [pre])
+    return (
+        all(x == space or x.get("type") in ("NFC", "Lowercase") for x in steps)
+        and len(parts) == 2
+        and {k: parts[0].get(k) for k in ("type", "pattern", "behavior", "invert")} == {"type": "Split", "pattern": {"Regex": WORD_PIECES}, "behavior": "Removed", "invert": True}
+        and {k: parts[1].get(k) for k in ("type", "add_prefix_space", "use_regex")} == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+        and model["type"] == "BPE"
+        and not model["dropout"]
+        and model["end_of_word_suffix"] == "</w>"
+        and not config["truncation"]
+        and not config["padding"]
+        and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or t["content"].split() != [t["content"]] for t in config["added_tokens"])
+    )
+
+
+class WordEncoder:
+    """Ids of whole texts. Where ``word_by_word`` holds, a word is encoded once in a process, up to a bound; else every whole text is encoded."""
 
     def __init__(self, path: str, most_words: int = 450_000, most_units: int = 1_100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -85,13 +111,22 @@ class WordEncoder:
         self.tokenizer, self.most_words, self.most_units = Tokenizer.from_file(path), most_words, most_units
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.vocab = max(vocab.values()) + 1
-        self.ends = np.zeros(self.vocab, bool)  # ids that end a word, for tokenizers that mark it
+        self.ends = np.zeros(self.vocab, bool)  # ids that end a word
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.marks = [self._each([m])[0] for m in MARKS]
-        if any(len(m) != 1 for m in self.marks):
-            raise ValueError("the tokenizer must have an id for a full stop and a comma")
+        self.by_word = word_by_word(json.loads(self.tokenizer.to_str())) and all(len(m) == 1 for m in self.marks)
+        self.plain = self._plain_letters() if self.by_word else frozenset()
         self._clear()
 
+    def _plain_letters(self) -> frozenset[str]:
+        """Latin letters that make one piece with letters before and after them and another with a mark after them, alone and in company."""
+        pieces = lambda t: [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(t))]
+        letters = [c for c in map(chr, range(LAST_LATIN + 1)) if c.isalpha()]
+        good = [c for c in letters if all(len(got := pieces(f"a{c}{c}a{c}{m}")) == 2 and got[1] == m for m in MARKS)]
+        if any(len(pieces("".join(x) + m)) != 2 for x in (good, good[::-1]) for m in MARKS):
+            return frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        return frozenset(good)
+
     def _clear(self) -> None:
         self.older: dict[bytes, int] = {}  #: the words known before the last bound was reached; those met again move on
         self.known: dict[bytes, int] = {}  #: a word as it stands: number of its unit, times 3, and which mark follows
@@ -102,7 +137,7 @@ class WordEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _letters(self, words: list[str]) -> list[list[int]]:
-        """Ids of words of letters only. They are encoded as one text and cut after the ids that end a word; if those are not as many as the words, one by one."""
+        """Ids of words of plain letters only. They are encoded as one text and cut after the ids that end a word; if those are not as many as the words, one by one."""
         out = []
         for lo in range(0, len(words), 2000):
             part = words[lo : lo + 2000]
@@ -120,13 +155,13 @@ class WordEncoder:
         self.ids[self.at[-1] - len(flat) : self.at[-1]] = flat
 
     def _learn(self, words: list[bytes]) -> None:
-        """Learn words; one of letters, with a full stop or comma at its end or without, has the ids of the letters and that of the mark."""
+        """Learn words; one of plain letters, with a full stop or comma at its end or without, has the ids of the letters and that of the mark. Others are encoded as they stand."""
         bodies, marks, plain = [], [], []
         for w in words:
             t = w.decode("utf-8", "replace")
             mark = MARKS.find(t[-1]) + 1 if len(t) > 1 else 0
             body = t[:-1] if mark else t
-            if go := body.isalpha():
+            if go := (body.isascii() and body.isalpha()) or self.plain.issuperset(body):
                 body = body.lower() if body.isascii() else body
             else:
                 mark, body = 0, t
@@ -141,6 +176,9 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, each with ``end`` after it; their offsets)."""
+        if not self.by_word:
+            got = [[*ids, end] for ids in self._each([t.decode("utf-8", "replace") for t in texts])]
+            return np.array([i for ids in got for i in ids], np.uint32), np.r_[0, np.cumsum(list(map(len, got)), dtype=np.int64)]
         if len(self.units) > self.most_units:
             self._clear()
         if len(self.known) > self.most_words:

@@ -167,6 +167,56 @@ def test_words_one_by_one_have_the_ids_of_the_text(text):
     assert ids[: at[1]].tolist() == whole_ids(text)
 
 
+def test_random_texts_of_any_script_have_the_librarys_ids():
+    rng = np.random.default_rng(12)
+    nukta, hebrew = [chr(c) for c in range(0x958, 0x960)], [chr(c) for c in range(0xFB1D, 0xFB4F)]
+    pool = nukta + hebrew + list("abzAZé ß İ ſ ŉ ́ ̣ ़ ּ 한 ᄀ ᅡ ᆨ ﬁ Ω Å ‍ 　 ٣ ½ \u0345 \u212a".replace(" ", "")) + ["'s", "'LL", "<|endoftext|>", "<", "̸"] + [chr(c) for c in (0x85, 0xA0, 0x1C, 0x2028, 0x378, 0x1C89, 0x10D4A, 0x1E4D0)]
+    ends = [".", ",", " ", " ", "\n", "., ", ",. ", "\t"]
+    some = [0x300, 0x900, 0x590, 0x1100, 0x3040, 0x4E00, 0x1F600, 0x600, 0xE00, 0x1E00, 0x100, 0x400]
+
+    def text():
+        out = []
+        for _ in range(rng.integers(1, 14)):
+            out += [pool[rng.integers(len(pool))] if rng.random() < 0.6 else chr(some[rng.integers(len(some))] + int(rng.integers(200))) for _ in range(rng.integers(1, 5))]
+            out.append(ends[rng.integers(len(ends))])
+        return "".join(out)
+
+    sample = [text() for _ in range(10_000)] + [c + m for c in nukta + hebrew + [chr(c) for c in range(0x250)] for m in (".", ",", "")]
+    plain = records.WordEncoder(TOKENIZER)
+    from tokenizers import Tokenizer
+
+    want = [[*e.ids, 1] for e in Tokenizer.from_file(TOKENIZER).encode_batch_fast(sample, add_special_tokens=False)]
+    ids, at = plain.encode([t.encode() for t in sample], 1)
+    wrong = [t for t, w, x, y in zip(sample, want, at[:-1].tolist(), at[1:].tolist(), strict=True) if ids[x:y].tolist() != w]
+    assert plain.by_word and {"é", "ß", "z"} <= plain.plain and not wrong
+
+
+def test_op7_has_the_librarys_ids_of_every_document(spark):
+    from tokenizers import Tokenizer
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    start, want = 0, []
+    for r, e in zip(rows, Tokenizer.from_file(TOKENIZER).encode_batch_fast([r.text or "" for r in rows], add_special_tokens=False), strict=True):
+        ids = np.array([*e.ids, 1], "<u4")
+        want.append((r.doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in queries.op7_token_records(spark, SF).collect()) == want
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    config = json.load(open(TOKENIZER))
+    assert records.word_by_word(config)
+    for change in ({"normalizer": {"type": "Strip", "strip_left": True, "strip_right": True}}, {"pre_tokenizer": {"type": "Metaspace", "replacement": "_", "prepend_scheme": "always", "split": False}}):
+        assert not records.word_by_word(config | change)
+    path = f"{tmp_path}/other.json"
+    json.dump(config | {"normalizer": {"type": "Lowercase"}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}, open(path, "w"))
+    enc, given = records.WordEncoder(path), ["Two  words. here", "", "ñandú"]
+    ids, at = enc.encode([t.encode() for t in given], 1)
+    assert not enc.by_word and [ids[x:y].tolist() for x, y in zip(at[:-1], at[1:], strict=True)] == [[*enc.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in given]
+
+
 def test_word_cache_bounds_change_nothing():
     enc = records.WordEncoder(TOKENIZER, most_words=5, most_units=7)
     for k in range(6):
