@@ -31,35 +31,35 @@ select e.vec_id, coalesce(n, 0) as n_links, component_id, e.vec_id = component_i
 """
 
 
-def mixing(weights: dict[str, float], block_chars: int, period: int = 256) -> str:
-    """Running sums to blocks; phases in which the same sources are left; one cycle of each phase slot by slot, earliest deadline first."""
-    rows = ", ".join(f"('{s}', {w}::double)" for s, w in weights.items())
+def mixing(weights: dict[str, int], block_chars: int) -> str:
+    """Running sums to blocks; phases in which the same sources are left; one cycle of each phase slot by slot, earliest deadline first. Whole weights."""
+    rows = ", ".join(f"('{s}', {int(w)}::bigint)" for s, w in weights.items())
     names = ", ".join(f"'{s}'" for s in weights if s != "other")
     return f"""
 with recursive w(src, w) as (values {rows}),
 doc as (select doc_id, source, length(text) as n_chars, coalesce(length(text), 0) as n, case when source in ({names}) then source else 'other' end as src, md5(cast(doc_id as varchar)) as o from documents),
 st as (select *, cast(coalesce(sum(n) over (partition by src order by o, n rows between unbounded preceding and 1 preceding), 0) as bigint) as start from doc),
 blk as (select src, cast(greatest(1, (sum(n) + {block_chars - 1}) // {block_chars}) + (sum(n) > 0 and sum(n) % {block_chars} = 0)::int as bigint) as blocks from doc group by src),
-ph(phase, src, w, lft, first, slot, share, run, base) as (
-  select 0, src, w, blocks, 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint from blk join w using (src)
+ph(phase, src, w, lft, first, slot, share, size, run, base) as (
+  select 0, src, w, blocks, 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint from blk join w using (src)
   union all
-  select phase + 1, src, w, lft1 - took, first + share * whole + took, slot + {period} * (whole + alive::int), share, share * whole + took, slot from (
+  select phase + 1, src, w, lft1 - took, first + share * whole + took, slot + size * (whole + alive::int), share, size, share * whole + took, slot from (
     select *, case when alive then least(lft1, share) else 0 end as took from (
       select *, min(lft1) over () > 0 as alive from (
         select *, lft - share * whole as lft1 from (
           select *, min(lft // share) over () as whole from (
-            select *, cast(least_n + (row_number() over (order by least_n - exact, src) <= {period} - sum(least_n) over ())::int as bigint) as share from (
-              select *, greatest(1, floor(exact)) as least_n from (select phase, src, w, lft, first, slot, w * {period} / sum(w) over () as exact from ph where lft > 0)))))))
+            select *, w // part as share, cast(sum(w) over () // part as bigint) as size from (
+              select phase, src, w, lft, first, slot, list_reduce(list(w) over (), lambda a, b: gcd(a, b)) as part from ph where lft > 0))))))
 ),
-cyc(phase, src, share, t, done, hit) as (
-  select phase, src, share, -1, 0::bigint, false from ph where phase > 0
+cyc(phase, src, share, size, t, done, hit) as (
+  select phase, src, share, size, -1, 0::bigint, false from ph where phase > 0
   union all
-  select phase, src, share, t + 1, done + now::int, now from (
-    select *, ok and row_number() over (partition by phase order by ok desc, ((done + 1) * {period} + share - 1) // share, src) = 1 as now from (
-      select *, done < share and done * {period} // share <= t + 1 as ok from cyc where t < {period - 1}))
+  select phase, src, share, size, t + 1, done + now::int, now from (
+    select *, ok and row_number() over (partition by phase order by ok desc, ((done + 1) * size + share - 1) // share, src) = 1 as now from (
+      select *, done < share and done * size // share <= t + 1 as ok from cyc where t < size - 1))
 )
 select st.doc_id, st.source, st.n_chars, st.src as mix_source, start // {block_chars} as mix_block,
-  cast(base + ((start // {block_chars} - (ph.first - run)) // ph.share) * {period} + c.t as bigint) as mix_slot, start as mix_start
+  cast(base + ((start // {block_chars} - (ph.first - run)) // ph.share) * ph.size + c.t as bigint) as mix_slot, start as mix_start
 from st join ph on ph.src = st.src and phase > 0 and start // {block_chars} >= ph.first - run and start // {block_chars} < ph.first
 join cyc c on c.phase = ph.phase and c.src = ph.src and c.hit and c.done - 1 = (start // {block_chars} - (ph.first - run)) % ph.share
 """

@@ -233,21 +233,58 @@ def test_damaged_records_are_told():
             list(records.read_frames(io.BytesIO(data[:k] + bytes([data[k] ^ 1]) + data[k + 1 :])))
 
 
-def test_cycles_keep_every_source_within_a_block():
-    for weights in ({"a": 1, "b": 1}, {"a": 5, "b": 3, "c": 1}, {"a": 100, "b": 1}, {f"s{k}": k + 1 for k in range(12)}):
-        share = mixing.shares(weights, 256)
-        assert sum(share.values()) == 256
-        done = dict.fromkeys(share, 0)
-        for t, (s, j) in enumerate(mixing.cycle(share), 1):
-            assert j == done[s]
-            done[s] += 1
-            assert all(abs(done[x] - n * t / 256) < 1 for x, n in share.items())
-
-
-def plain_mix(rows, weights, block, period=256):
+def lags(slots, weights):
+    """The most that a source is away from its target weight at any time, of (source, slot) of all its blocks; weights as they are given."""
+    from fractions import Fraction
+
+    share = {s: Fraction(str(w)) / sum(Fraction(str(x)) for x in weights.values()) for s, w in weights.items()}
+    done, worst = dict.fromkeys(weights, 0), 0
+    for t, s in enumerate(slots, 1):
+        done[s] += 1
+        worst = max(worst, *(abs(done[x] - share[x] * t) for x in weights))
+    return worst
+
+
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 5, "b": 3, "c": 1}, {"a": 100, "b": 1}, {f"s{k}": k + 1 for k in range(12)}, {"a": 0.1, "b": 0.25, "c": 1.3}, queries.WEIGHTS], ids=str)
+def test_cycles_keep_every_source_within_a_block_of_its_weight(weights):
+    share = mixing.shares(weights)
+    one = [s for s, _ in mixing.cycle(share)]
+    assert len(one) == sum(share.values()) and lags(one * 1000 if len(one) < 40 else one * 20, weights) < 1
+    count = dict.fromkeys(share, 0)
+    for s, j in mixing.cycle(share):
+        assert j == count[s]
+        count[s] += 1
+
+
+def test_the_mix_is_within_a_block_of_the_weights_in_every_phase():
+    weights = {"a": 4.0, "b": 3.0, "c": 0.5, "d": 2.0}
+    runs, left = mixing.phases({"a": 3000, "b": 40, "c": 900, "d": 1500}, weights), dict(weights)
+    while runs:
+        now = [r for r in runs if set(r["sources"]) == set(left)]
+        slots = {}
+        for r in now:
+            for s, (first, took, share, table) in r["sources"].items():
+                for j in range(took):
+                    slots[r["slot"] + j // share * r["size"] + table[j % share]] = s
+        seen = sorted(slots)
+        full = seen[: next((k for k, t in enumerate(seen) if t != seen[0] + k), len(seen))]  # a source that ends leaves its slots of the last cycle empty
+        assert len(full) >= 30 and lags([slots[t] for t in full], left) < 1
+        runs = [r for r in runs if r not in now]
+        if runs:
+            left = {s: weights[s] for s in runs[0]["sources"]}
+
+
+def test_weights_with_too_long_a_cycle_are_refused():
+    with pytest.raises(ValueError):
+        mixing.shares({"a": 0.123456789, "b": 1})
+
+
+def plain_mix(rows, weights, block):
     """Slots by running the schedule one slot at a time over blocks counted text by text."""
     import hashlib
+    from fractions import Fraction
 
+    weights = {s: Fraction(str(w)) for s, w in weights.items()}
     weights = {"other": sum(weights.values()) / len(weights)} | weights
     by = {}
     for i, source, size in rows:
@@ -262,8 +299,9 @@ def plain_mix(rows, weights, block, period=256):
     left, first, slot, out = dict(blocks), dict.fromkeys(blocks, 0), 0, {}
     while any(left.values()):
         active = {s: weights[s] for s in left if left[s]}
-        share = mixing.shares(active, period)
-        size = sum(share.values())
+        total = sum(active.values())
+        size = next(n for n in range(1, 10_000) if all((w * n / total).denominator == 1 for w in active.values()))
+        share = {s: int(w * size / total) for s, w in active.items()}
         whole_cycle = True
         while whole_cycle and all(left[s] for s in active):  # a source that ends with a cycle leaves the next
             whole_cycle = all(left[s] >= share[s] for s in active)
@@ -282,10 +320,15 @@ def plain_mix(rows, weights, block, period=256):
     return sorted(((i, s, b, out[s, b], at) for (s, i), places in place.items() for b, at in places), key=repr)
 
 
-def test_mix_matches_a_slot_by_slot_schedule(spark):
+@pytest.mark.parametrize("rows_a_range", [1 << 16, 2])
+def test_mix_matches_a_slot_by_slot_schedule(spark, monkeypatch, rows_a_range):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", rows_a_range)
+    monkeypatch.setattr(mixing, "RANGE_DIGITS", 1 if rows_a_range == 2 else 3)
     weights = {"a": 3.0, "b": 1.0, "c": 2.0}
-    got = mixing.mix(texts.clashing(texts.edge_docs(spark)), weights, 200, period=16)
-    want = plain_mix([(r[0], r[3], len(r[1] or "")) for r in texts.edge_rows()], weights, 200, 16)
+    more = [(None, "x" * k, "en", "a", k) for k in range(40)]
+    docs = texts.clashing(texts.edge_docs(spark).unionByName(spark.createDataFrame(more, texts.SCHEMA)))
+    got = mixing.mix(docs, weights, 200)
+    want = plain_mix([(r[0], r[3], len(r[1] or "")) for r in texts.edge_rows() + more], weights, 200)
     assert sorted((tuple(r) for r in got.select("doc_id", "mix_source", "mix_block", "mix_slot", "mix_start").collect()), key=repr) == want
     assert mixing.mix(texts.empty_docs(spark), weights, 200).count() == 0
 
