@@ -67,6 +67,16 @@ def n_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_tiles(rows: DataFrame, key: list[str], by: str, most: int, name: str) -> DataFrame:
+    """``rows`` with ``tile``, ``ti`` and ``tj``: a key of over ``most`` rows is cut into tiles by a hash of ``by``, and a row goes to each pair of tiles
+    that its own is in; other keys have one tile. Every two rows of a key meet in one pair of tiles at least."""
+    large = rows.groupBy(*key).count().where(F.col("count") > most).select(*key, F.ceil(F.col("count") / most).cast("bigint").alias("tiles"))
+    large = materialize(large, f"{name}-large")  # of known size, so that a small table is sent to all tasks and a large one is not
+    dealt = rows.join(large, key, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64(by), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)))
+    return dealt.withColumns({"ti": F.least("tile", "other"), "tj": F.greatest("tile", "other")}).drop("other", "tiles")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

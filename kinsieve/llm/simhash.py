@@ -3,14 +3,15 @@
 Fingerprints within the radius of one another agree on whole blocks of bits (pigeonhole),
 so rows are dealt by the values of those blocks and each block value is one shard. A
 shard's distinct fingerprints form a BK-tree; the tree and its queries are sent to one
-task, in batches, and the search follows only edges within the radius. A task gives back
-one link per fingerprint (to the least fingerprint that its shard connects it with), not
-all pairs; a distributed contraction joins the links of all shards.
+task, in batches, and the search follows only edges within the radius. A shard of very many
+fingerprints is cut into tiles, each pair of which is a task's. A task gives back one link
+per fingerprint (to a fingerprint that its shard connects it with), not all pairs; a
+distributed contraction joins the links of all shards.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -20,10 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bktree
-from .common import byte_slices, materialize, n_shuffle
+from .common import byte_slices, in_tiles, materialize, n_shuffle
 from .components import connected_components
 
 SEED = 42
+#: Rows of a shard's tile, and of a shard whose components are grown one by one.
+TILE_ROWS, GROW_ROWS = 1 << 14, 256
+KEY = ["t", "k", "ti", "tj"]
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -94,44 +98,47 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _search_shards(radius: int):
-    def links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        new = np.r_[True, (key[1:] != key[:-1]).any(axis=1)]
-        shard = np.cumsum(new) - 1
-        if len(fp) > 1:  # shards of one need no tree
-            many = np.bincount(shard)[shard] > 1
-            fp, shard = fp[many], shard[many]
-            shard = np.unique(shard, return_inverse=True)[1]
-        value = fp.view(np.uint64)
-        forest = bktree.build(shard, value)
-        low, some, n = np.arange(len(fp)), [], 0
-        for q, node in bktree.search(forest, shard, value, radius):
-            go = q < node
-            some.append((q[go], node[go]))
-            n += len(some[-1][0])
-            if n > 1 << 20:  # what was found comes down to one link a fingerprint
-                low = bktree.label(len(fp), np.concatenate([np.arange(len(fp)), *(x for x, _ in some)]), np.concatenate([low, *(x for _, x in some)]))
-                some, n = [], 0
-        low = bktree.label(len(fp), np.concatenate([np.arange(len(fp)), *(x for x, _ in some)]), np.concatenate([low, *(x for _, x in some)]))
-        go = low != np.arange(len(fp))
-        return fp[go], fp[low[go]]
+def _search_shards(radius: int, also: Callable[[pa.Table], bktree.Also] | None = None):
+    """Links ``(a, b)`` between the nodes of rows ``(t, k, ti, tj, node, fp, ...)`` that come sorted by their shard's tiles; ``also`` makes of rows a test of their pairs."""
+    grow = GROW_ROWS
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        key = np.stack([rows.column(k).to_numpy() for k in KEY], axis=1)
+        node, value = rows.column("node").to_numpy(), rows.column("fp").to_numpy().view(np.uint64)
+        shard = np.cumsum(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) - 1
+        size = np.bincount(shard)[shard]
+        low = np.arange(len(node))
+
+        def holds(at: np.ndarray) -> bktree.Also:
+            return also(rows.take(pa.array(at))) if also else lambda q, r: np.ones(len(q), bool)
+
+        few = np.flatnonzero((size > 1) & (size <= grow))  # shards of one need no tree
+        if len(few):
+            low[few] = few[bktree.components_small(np.unique(shard[few], return_inverse=True)[1], value[few], radius, holds(few))]
+        for s in np.unique(shard[size > grow]).tolist():
+            at = np.flatnonzero(shard == s)
+            low[at] = at[bktree.components_large(value[at], radius, holds(at))]
+        go = low != np.arange(len(low))
+        return pa.record_batch([pa.array(node[go]), pa.array(node[low[go]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 3), np.int64)
+        held: list[pa.RecordBatch] = []
+        n, wait = 0, 1 << 16
         for b in batches:
-            rows = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)], axis=1)
-            held = np.concatenate([held, rows])
-            if len(held) < 1 << 16:
+            held.append(b)
+            n += b.num_rows
+            if n < wait:
                 continue
-            last = np.flatnonzero((held[:, :2] != held[-1, :2]).any(axis=1))
+            rows = pa.Table.from_batches(held).combine_chunks()
+            key = np.stack([rows.column(k).to_numpy() for k in KEY], axis=1)
+            last = np.flatnonzero((key != key[-1]).any(axis=1))
             if len(last):  # the last shard may go on in the next batch
-                cut = last[-1] + 1
-                a, c = links(held[:cut, :2], np.ascontiguousarray(held[:cut, 2]))
-                held = held[cut:]
-                yield pa.record_batch([pa.array(a), pa.array(c)], ["a", "b"])
-        if len(held):
-            a, c = links(held[:, :2], np.ascontiguousarray(held[:, 2]))
-            yield pa.record_batch([pa.array(a), pa.array(c)], ["a", "b"])
+                yield links(rows.slice(0, last[-1] + 1))
+                rows = rows.slice(last[-1] + 1)
+            held, n = rows.combine_chunks().to_batches(), rows.num_rows
+            wait = max(1 << 16, 2 * n)
+        if n:
+            yield links(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
@@ -139,9 +146,9 @@ def _search_shards(radius: int):
 def fingerprint_links(fps: DataFrame, radius: int = 3, n: int | None = None) -> DataFrame:
     """``(a, b)`` links between the distinct fingerprints of ``fps(fp)`` that connect all within ``radius`` bits of each other."""
     blocks = plan_blocks(fps.count() if n is None else n, radius)
-    keys = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("bigint")).alias("k")) for k, m in enumerate(block_masks(radius, blocks))])
-    dealt = fps.select("fp", F.explode(keys).alias("x")).select("x.t", "x.k", "fp")
-    dealt = dealt.repartition(4 * n_shuffle(fps.sparkSession), "t", "k").sortWithinPartitions("t", "k", "fp")
+    keys = F.array(*[F.struct(F.lit(k).cast("bigint").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("bigint")).alias("k")) for k, m in enumerate(block_masks(radius, blocks))])
+    dealt = in_tiles(fps.select("fp", F.explode(keys).alias("x")).select("x.t", "x.k", "fp"), ["t", "k"], "fp", TILE_ROWS, "simhash")
+    dealt = dealt.select(*KEY, F.col("fp").alias("node"), "fp").repartition(4 * n_shuffle(fps.sparkSession), *KEY).sortWithinPartitions(*KEY, "fp")
     return dealt.mapInArrow(_search_shards(radius), "a bigint, b bigint")
 
 

@@ -180,6 +180,84 @@ def test_near_copies_with_repeated_lines_are_found(spark):
     assert got == jaccard_groups(rows)
 
 
+def test_groups_of_every_path_match_brute_force(spark, monkeypatch):
+    """Shards cut into tiles, components grown one by one, and large groups with sets near to their least node and far from it."""
+    monkeypatch.setattr(neardup, "TILE", 5)
+    monkeypatch.setattr(neardup, "TILE_ROWS", 16)
+    monkeypatch.setattr(simhash, "GROW_ROWS", 4)
+    rows = []
+    for g in range(3):
+        base = texts.prose(400 + g, 200).split()
+        for k in range(40):  # each text differs from the one before it in a few words, so chains run far from their start
+            base = base[:]
+            for w in range(1 + g):
+                base[(17 * k + 61 * w) % 200] = f"new{k}x{w}"
+            rows.append((1000 * g + k, " ".join(base)))
+    rows += [(5000 + k, texts.prose(900, 150).replace("alpha", f"v{k}", 1)) for k in range(60)] + [(6000 + k, texts.prose(950 + k, 60)) for k in range(20)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert got == jaccard_groups(rows)
+
+
+def test_ids_that_repeat_lose_no_text(spark):
+    a, b, c = texts.prose(21, 80), texts.prose(22, 80), texts.prose(23, 80)
+    rows = [(5, a), (5, b), (2, b + " more"), (7, c), (7, c), (9, c + " "), (5, a)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in neardup.one_of_each_group(docs).collect()) == [(2, b + " more"), (5, a), (7, c)]
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))  # ids of another type
+    assert sorted(r.doc_id for r in neardup.one_of_each_group(named).collect()) == ["d2", "d5", "d7"]
+
+
+def test_sketches_pass_similar_sets():
+    rng = np.random.default_rng(5)
+    tables, wrong = [], 0
+    for n in [1, 2, 3, 5, 8, 20, 60, 200, 1000] * 60:
+        one = rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2)
+        keep = int(np.ceil(n * 8 / 9))  # with n - keep new ones the similarity is 0.8 or a little more
+        other = np.concatenate([one[:keep], rng.integers(0, 1 << 63, n - keep, np.uint64)])
+        tables += [np.unique(one), np.unique(other)]
+    rows = spark_free_table(tables)
+    q = np.arange(0, len(tables), 2)
+    ok = neardup.plausible(0.8)(rows)(q, q + 1)
+    for k, x in enumerate(q.tolist()):
+        both = len(np.intersect1d(tables[x], tables[x + 1]))
+        wrong += both >= 0.8 * (len(tables[x]) + len(tables[x + 1]) - both) and not ok[k]
+    far = neardup.plausible(0.8)(rows)(q, np.roll(q, 2 * 9))  # unrelated sets of the same sizes
+    assert wrong == 0 and not far[np.array([len(tables[x]) >= 60 for x in q])].any()
+
+
+def spark_free_table(sets):
+    import pyarrow as pa
+
+    return pa.table({"n": [len(s) for s in sets], "sketch": pa.array([x.tobytes() for x in neardup.sketches(sets)], pa.binary())})
+
+
+@pytest.mark.parametrize("most", [1, 3, 256])
+def test_components_grow_to_the_same_as_all_pairs(most):
+    rng = np.random.default_rng(most)
+    for _ in range(40):
+        n = int(rng.integers(1, 200))
+        base = rng.integers(0, 1 << 63, int(rng.integers(1, 8)), np.uint64)
+        value = base[rng.integers(0, len(base), n)]
+        for _ in range(int(rng.integers(0, 6))):
+            value = value ^ np.where(rng.random(n) < 0.5, np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64), np.uint64(0))
+        tag = rng.integers(0, 3, n)
+        also = lambda q, r: tag[q] == tag[r]  # noqa: B023, E731
+        a, b = np.nonzero(np.triu((np.bitwise_count(value[:, None] ^ value[None, :]) <= 3) & (tag[:, None] == tag[None, :]), 1))
+        want = bktree.label(n, a, b).tolist()
+        for got in (bktree.components_large(value, 3, also, most), bktree.components_small(np.zeros(n, np.int64), value, 3, also)):
+            assert bktree.label(n, np.arange(n), got).tolist() == want
+
+
+def test_one_hot_shard_in_tiles_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE_ROWS", 20)
+    monkeypatch.setattr(simhash, "GROW_ROWS", 8)
+    rng = np.random.default_rng(8)
+    fps = sorted({int(sum(1 << int(b) for b in rng.choice(12, 4))) for _ in range(150)})  # all share their high bits
+    links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fp bigint"))
+    got = brute.components(fps, [(r.a, r.b) for r in links.collect()])
+    assert got == brute.components(fps, [(x, y) for x in fps for y in fps if x < y and (x ^ y).bit_count() <= 3])
+
+
 def test_one_of_each_group_stays(spark):
     docs = texts.clashing(texts.edge_docs(spark))
     got = neardup.one_of_each_group(docs)
