@@ -469,6 +469,64 @@ def test_suffix_stage_cuts_shared_passages_and_keeps_documents(spark):
     assert passage not in got[2].text and got[2].n_chars == len(got[2].text) and got[2].text.endswith(" ñ")
 
 
+def test_stages_may_be_chained_and_read_in_part(spark, tmp_path):
+    import corpus_pipeline
+
+    passage = texts.prose(9, 55)
+    docs = spark.createDataFrame([(k, texts.prose(k, 40) + " " + passage, "en", "a", None) for k in range(1, 4)] + [(4, texts.prose(1, 40) + " " + passage, "en", "b", None)], texts.SCHEMA)
+    cut = corpus_pipeline.suffix_array_dedup(spark, docs, "").select("doc_id", "text")
+    assert cut.count() == 4
+    few = corpus_pipeline.simhash_near_dedup(spark, docs, "")
+    chained = corpus_pipeline.suffix_array_dedup(spark, few, "").select("text")
+    assert sorted(passage in r.text for r in chained.collect()) == [False, False, True] and few.count() == 3
+    made = list(corpus_pipeline._WRITTEN)
+    corpus_pipeline.mixing(spark, docs, "")
+    assert made and not any(spark._jvm.java.io.File(p.removeprefix("file://")).exists() for p in made)
+
+
+def test_pipeline_matches_a_plain_version(spark):
+    """Every stage on the rows that the one before it kept: toxic texts by the model's own score, groups and passages by brute force, mix and bins by plain schedules."""
+    import corpus_pipeline
+    from test_pairs import jaccard_groups
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit_on(docs, labels)
+    rows = [(r.doc_id, r.text, r.source) for r in docs.select("doc_id", "text", "source").collect()]
+    rows = [r for r, score in zip(rows, model.scores([(t or "").encode() for _, t, _ in rows]), strict=True) if score < model.params.threshold]
+    group = jaccard_groups([(i, t) for i, t, _ in rows])
+    rows = [r for r in rows if group[r[0]] == r[0]]
+    least, kept = {}, []
+    raw = [(i, t.encode(), s) for i, t, s in rows]
+    n = corpus_pipeline.PASSAGE_BYTES
+    for i, t, _ in raw:
+        for p in range(len(t) - n + 1):
+            least[t[p : p + n]] = min(least.get(t[p : p + n], i), i)
+    for i, t, s in raw:
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - n + 1):
+            if least[t[p : p + n]] < i:
+                gone[p : p + n] = True
+        at, out = 0, []
+        for c in t.decode():  # a character goes if all its bytes do
+            size = len(c.encode())
+            out += [] if gone[at : at + size].all() else [c]
+            at += size
+        kept.append((i, "".join(out), s))
+    sizes = {i: len(whole_ids(t)) for i, t, _ in kept}
+    mixed = plain_mix([(i, s, len(t)) for i, t, s in kept], queries.WEIGHTS, queries.BLOCK_CHARS)
+    order = [i for i, *_ in sorted(mixed, key=lambda r: (r[3], r[4], r[0]))]
+    source, text = {i: s for i, _, s in kept}, {i: t for i, t, _ in kept}
+    want = []
+    for lo in range(0, len(order), packing.ORDERED_ROWS):
+        run = order[lo : lo + packing.ORDERED_ROWS]
+        pieces = sorted(((-(sizes[i] % queries.WINDOW_TOKENS), lo + k, i) for k, i in enumerate(run) if sizes[i] % queries.WINDOW_TOKENS))
+        want += [(i, -size, at) for (size, _, i), (_, at) in zip(pieces, plain_best_fit([(-size, source[i], text[i] if list(text.values()).count(text[i]) > 1 else None) for size, _, i in pieces], queries.WINDOW_TOKENS, 2), strict=True)]
+        want += [(i, queries.WINDOW_TOKENS, 0) for i in run for _ in range(sizes[i] // queries.WINDOW_TOKENS)]
+    got = [(r.doc_id, r.n_tokens, r.bin_offset) for r in corpus_pipeline.run(spark, sf).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline
 
