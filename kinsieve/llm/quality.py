@@ -135,9 +135,12 @@ def fit(x: np.ndarray, y: np.ndarray, p: QualityParams = QualityParams(), monoto
 
 
 def fit_on(stats: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> Trees:
+    """Trees of the labelled rows of ``stats``, one row an id (of several the least), ``most_rows`` at most. Null ids and labels other than 0 and 1 are
+    left out; an id with several labels counts as good if any says so."""
     picked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.most_rows)
-    rows = stats.join(F.broadcast(picked), "doc_id").orderBy("doc_id", *COUNTS).toPandas()  # most_rows rows of numbers
+    rows = stats.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*COUNTS, "quality")).alias("x"))
+    rows = rows.orderBy("doc_id").select("x.*").toPandas()  # most_rows rows of numbers
     return fit(features({c: rows[c].to_numpy() for c in COUNTS}), rows["quality"].to_numpy(), p)
 
 

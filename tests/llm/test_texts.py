@@ -41,6 +41,188 @@ def test_toxicity_tells_held_out_texts_apart():
     assert model.scores([misspelled])[0] > model.scores([clean.encode()])[0]
 
 
+def bad_texts(n):
+    """Texts of which every fourth has one of two bad words three times."""
+    rng, bad = np.random.default_rng(n), ["grobnik", "vilefex"]
+    out = []
+    for k in range(n):
+        words = rng.choice(texts.WORDS, 60).tolist()
+        if k % 4 == 0:
+            for j in range(3):
+                words[rng.integers(60)] = bad[j % 2]
+        out.append(" ".join(words).encode())
+    return out, (np.arange(n) % 4 == 0).astype(int)
+
+
+@pytest.mark.parametrize("n", [20, 40, 200])
+def test_toxicity_learns_from_few_labels(n):
+    model = toxicity.fit(*bad_texts(n))
+    new, y = bad_texts(241)
+    got = model.scores(new) >= 0.7
+    assert got[y == 1].mean() > 0.85 and not got[y == 0].any()
+
+
+def test_misspellings_never_seen_are_toxic():
+    model = toxicity.fit(*bad_texts(400))
+    clean = texts.prose(70, 57)
+    for word in ("grobnikk", "grobniks", "xgrobnik", "vilefexx", "vvilefex"):
+        assert model.scores([f"{clean} {word} {word} {word}".encode()])[0] >= 0.7 > model.scores([f"{clean} omicron omicron omicron".encode()])[0]
+
+
+def plain_toxicity(given, labels, p):
+    """The model text by text and number by number; returns a function of a text."""
+    import math
+
+    def bag(t):
+        out, words = {}, t.lower().split()
+        for w in words:
+            rows = toxicity.word_rows(w, p)
+            for r in rows:
+                out[r] = out.get(r, 0) + 1 / len(rows) / len(words)
+        return out
+
+    bags, share = [bag(t) for t in given], (sum(labels) + 0.5) / (len(labels) + 1)
+    shrink = {}
+    for r in range(p.buckets):
+        n, n1 = sum(r in b for b in bags), sum(r in b and y for b, y in zip(bags, labels, strict=True))
+        z = abs(n1 - n * share) / math.sqrt(max(n * share * (1 - share), 1))
+        if z > p.chance_z:
+            shrink[r] = 1 - (p.chance_z / z) ** 2
+    rows = sorted(shrink)
+    rng = np.random.default_rng(p.seed)
+    emb = dict(zip(rows, (rng.uniform(-1, 1, (len(rows), p.dim)) / p.dim).tolist(), strict=True))
+    soft, bias = rng.normal(0, 1 / p.dim, (p.dim, 2)).tolist(), [0.0, math.log(share / (1 - share))]
+    mean, square, step = {}, {}, 0
+
+    def odds(b):
+        vec = [sum(p.scale * shrink[r] * w * emb[r][d] for r, w in b.items() if r in shrink) for d in range(p.dim)]
+        z = [sum(vec[d] * soft[d][c] for d in range(p.dim)) + bias[c] for c in (0, 1)]
+        e = [math.exp(x - max(z)) for x in z]
+        return vec, [x / sum(e) for x in e]
+
+    for epoch in range(p.epochs):
+        rate, order = p.rate * (1 - epoch / p.epochs), rng.permutation(len(given)).tolist()
+        for lo in range(0, len(order), p.batch):
+            pick = order[lo : lo + p.batch]
+            grad = {("e", r, d): p.ridge * emb[r][d] for r in rows for d in range(p.dim)} | {("s", d, c): p.ridge * soft[d][c] for d in range(p.dim) for c in (0, 1)} | {("b", c): 0.0 for c in (0, 1)}
+            for k in pick:
+                vec, got = odds(bags[k])
+                for c in (0, 1):
+                    g = (got[c] - (labels[k] == c)) / len(pick)
+                    grad["b", c] += g
+                    for d in range(p.dim):
+                        grad["s", d, c] += g * vec[d]
+                        for r, w in bags[k].items():
+                            if r in shrink:
+                                grad["e", r, d] += g * soft[d][c] * p.scale * shrink[r] * w
+            step += 1
+            for key, g in grad.items():
+                mean[key] = mean.get(key, 0) + 0.1 * (g - mean.get(key, 0))
+                square[key] = square.get(key, 0) + 0.001 * (g * g - square.get(key, 0))
+                change = rate * math.sqrt(1 - 0.999**step) / (1 - 0.9**step) * mean[key] / (math.sqrt(square[key]) + 1e-9)
+                kind, *at = key
+                if kind == "e":
+                    emb[at[0]][at[1]] -= change
+                elif kind == "s":
+                    soft[at[0]][at[1]] -= change
+                else:
+                    bias[at[0]] -= change
+    return lambda t: odds(bag(t))[1][1]
+
+
+def test_toxicity_matches_a_plain_version(spark):
+    p = toxicity.ToxicityParams(dim=3, buckets=128, epochs=8, batch=8, rate=0.1)
+    given, y = bad_texts(30)
+    ids = [k for k in range(200) if py_fold(k, 3) != 1][:30]
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in zip(ids, given, strict=True)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(t)) for i, t in zip(ids, y, strict=True)], "doc_id bigint, toxic int")
+    model, plain = toxicity.fit_on(docs, labels, p), plain_toxicity(given, y.tolist(), p)
+    new = [t for t, _ in zip(bad_texts(20)[0], range(8), strict=False)] + [b"", b"grobnikk is here"]
+    scored = toxicity.score_toxicity(spark.createDataFrame(list(enumerate(t.decode() for t in new)), "doc_id bigint, text string"), model)
+    got = {r.doc_id: r.score for r in scored.collect()}
+    assert np.allclose([got[k] for k in range(len(new))], [plain(t) for t in new], atol=1e-9) and np.ptp(list(got.values())) > 0.01
+
+
+def test_rows_of_an_id_that_repeat_count_once(spark):
+    ids = [k for k in range(60) if py_fold(k, 3) != 1 and py_fold(k, 4) != 2]
+    docs = spark.createDataFrame([(i, texts.prose(i, 20), "en" if i % 2 else "de") for i in ids for _ in range(3)] + [(ids[0], "aaa", "en")], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in ids for _ in range(2)], "doc_id bigint, toxic int, quality int")
+    assert toxicity.training_rows(docs, labels, toxicity.ToxicityParams(most_texts=5)).count() == 5
+    assert len(toxicity.training_rows(docs, labels).collect()) == len(ids)
+    one = docs.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min_by("lang", F.xxhash64("text")).alias("lang"))
+    assert np.allclose(language.learn_from(docs).proto, language.learn_from(one).proto)
+    assert (toxicity.fit_on(docs, labels).row == toxicity.fit_on(one, labels).row).all()
+
+
+def plain_languages(given, langs, p, letters):
+    """Profiles trigram by trigram; returns a function of a text."""
+    import math
+
+    vector = language.Encoder(letters, p).vector.tolist()
+
+    def kind(c):
+        return 0 if not c.isalpha() else 1 + (letters.index(c) if c in letters else len(letters) + ord(c) % p.shared)
+
+    def bundle(t):
+        out, word = [0] * p.dim, []
+        for c in t.lower() + "\n":
+            if k := kind(c):
+                word.append(k)
+                continue
+            s = [0, *word, 0]
+            for a, b, e in zip(s, s[1:], s[2:], strict=False):
+                for d in range(p.dim):
+                    out[d] += vector[a][(d - 2) % p.dim] * vector[b][(d - 1) % p.dim] * vector[e][d]
+            word = []
+        norm = math.sqrt(sum(x * x for x in out))
+        return [x / norm for x in out] if norm else out
+
+    total = {}
+    for t, lang in zip(given, langs, strict=True):
+        total[lang] = [x + y for x, y in zip(total.get(lang, [0] * p.dim), bundle(t), strict=True)]
+    proto = {k: [x / math.sqrt(sum(y * y for y in v)) for x in v] for k, v in total.items()}
+
+    def of(t):
+        if not any(kind(c) for c in t.lower()):
+            return "und", 0.0
+        v = bundle(t)
+        cos = {k: sum(x * y for x, y in zip(v, w, strict=True)) for k, w in proto.items()}
+        best = min(cos, key=lambda k: (-cos[k], k))
+        return best, max(0.0, cos[best])
+
+    return of
+
+
+def test_language_matches_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(language, "BLOCK_TEXTS", 3)
+    monkeypatch.setattr(language, "BLOCK_TRIGRAMS", 7)
+    monkeypatch.setattr(language, "MOST_BOUND", 20)
+    p = language.LanguageParams(dim=32, letters=20, shared=3)
+    ids = [k for k in range(60) if py_fold(k, 4) != 2][:20]
+    given = [texts.prose(k, 12) if k % 2 else "der Hund läuft über die Straße " * (k % 3) + texts.prose(k, 3).upper() for k in ids]
+    langs = ["en" if k % 2 else "de" for k in ids]
+    docs = spark.createDataFrame([(i, t, x) for i, t, x in zip(ids, given, langs, strict=True)], "doc_id bigint, text string, lang string")
+    prof = language.learn_from(docs, p)
+    assert sorted(prof.letters) == sorted(language.learn(given, langs, p).letters)
+    plain = plain_languages(given, langs, p, prof.letters)
+    new = [*given[:6], "", "1 2", "Äpfel, apples", "x", "日本語 тест"]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(spark.createDataFrame(list(enumerate(new)), "doc_id bigint, text string"), prof).collect()}
+    assert [got[k][0] for k in range(len(new))] == [plain(t)[0] for t in new] and np.allclose([got[k][1] for k in range(len(new))], [plain(t)[1] for t in new], atol=1e-5)
+
+
+def test_bundles_of_many_short_texts_need_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    given = ["".join(chr(97 + c) for c in rng.integers(0, 26, 100)) for _ in range(9000)]
+    enc = language.Encoder([chr(97 + k) for k in range(26)] + [chr(0x3B1 + k) for k in range(174)], language.LanguageParams())
+    tracemalloc.start()
+    enc.bundle(given)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20
+
+
 def test_toxicity_on_awkward_rows(spark):
     docs = texts.clashing(texts.edge_docs(spark))
     model = toxicity.fit_on(docs, small_labels(spark))
