@@ -76,7 +76,8 @@ def pack(docs: DataFrame, capacity: int, per_source: int = 2, id_col: str = "doc
     A row's length is its words and an end token, or ``length``; its cluster is the md5 of the text, or ``cluster``. A bin holds no two
     pieces of a cluster and at most ``per_source`` of a source; rows with a null source or cluster conflict with nothing there. Null and
     empty texts are one end token. Equal pieces stand by id and cluster. An empty table gives no rows. With ``order`` (columns) bins hold
-    rows of a run of ``ORDERED_ROWS`` in that order, and their names sorted follow it.
+    rows of a run of ``ORDERED_ROWS`` in that order, and their names sorted follow it. Without it a row's shard comes of a hash of its id,
+    source, cluster, length and number among equal rows, so bins are the same however the rows are dealt out and read.
     """
     if capacity < 1 or per_source < 1:
         raise ValueError("capacity and per_source must be 1 or more")
@@ -84,13 +85,18 @@ def pack(docs: DataFrame, capacity: int, per_source: int = 2, id_col: str = "doc
     same = F.md5("text") if cluster is None else cluster
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), same.cast("string").alias("cluster"), F.coalesce(size, F.lit(1)).cast("bigint").alias("size"), *[F.col(c).alias(f"_by{k}") for k, c in enumerate(order)])
     by = [f"_by{k}" for k in range(len(order))]
-    rows = rows.orderBy(*by).drop(*by) if order else rows
-    rows = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "pack-rows")  # ids and numbers, not texts; rows may repeat
-    rows = materialize(compact(rows, "uid"), "pack-order") if order else rows  # places without gaps
+    if order:
+        rows = materialize(rows.orderBy(*by).drop(*by).withColumn("uid", F.monotonically_increasing_id()), "pack-rows")
+        rows = materialize(compact(rows, "uid"), "pack-order")  # places without gaps
+    else:
+        light = ["doc_id", "source", "cluster", "size"]  # ids and numbers, not texts; equal rows are counted and told apart by number
+        rows = rows.groupBy(*light).count().select(*light, F.explode(F.sequence(F.lit(1).cast("bigint"), "count")).alias("copy"))
+        same = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in light]))
+        rows = materialize(rows.withColumn("uid", F.concat_ws("-", same, F.col("copy").cast("string"))).drop("copy"), "pack-rows")
     full = F.expr(f"size div {int(capacity)}")
     whole = rows.where(full > 0).select("doc_id", "source", "uid", F.explode(F.sequence(F.lit(0).cast("bigint"), full - 1)).alias("piece"))
     # a whole window is a bin of its own, named by its row and place
-    name = F.format_string("%012d-%09d" if order else "w-%d-%d", F.col("uid"), F.col("piece"))
+    name = F.format_string("%012d-%09d" if order else "w-%s-%d", F.col("uid"), F.col("piece"))
     whole = whole.select("doc_id", "source", "piece", (F.col("piece") * capacity).alias("start"), F.lit(capacity).cast("bigint").alias("n_tokens"), name.alias("bin_id"), F.lit(0).cast("bigint").alias("bin_offset"))
     rest = rows.where(F.col("size") % capacity > 0).select("uid", "doc_id", "source", "cluster", full.alias("piece"), (F.col("size") % capacity).alias("n_tokens"))
     if order:
@@ -100,7 +106,7 @@ def pack(docs: DataFrame, capacity: int, per_source: int = 2, id_col: str = "doc
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = ["uid"] if order else ["doc_id", "cluster", "source"]
+        keys = ["uid"] if order else ["doc_id", "cluster", "source", "uid"]
         pdf = pdf.sort_values(["n_tokens", *keys], ascending=[False, *[True] * len(keys)], kind="stable")
         got = best_fit(zip(pdf["n_tokens"].tolist(), _bits(pdf["source"]), _bits(pdf["cluster"]), strict=True), capacity, per_source)
         shard = int(pdf["shard"].iloc[0])

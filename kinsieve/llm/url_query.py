@@ -21,7 +21,8 @@ def list_events(pages: DataFrame) -> DataFrame:
     hosts = pages.select(host_of(F.col("url")).alias("host")).where("host is not null").distinct()
     digit = lambda k: F.conv(F.substring(F.md5("host"), k, 4), 16, 10).cast("bigint")
     hosts = hosts.select("host", digit(1).alias("a"), digit(5).alias("b"), digit(9).alias("c"))
-    domain = F.array_join(F.slice(F.split("host", r"\."), -3, 3), ".")
+    labels = F.split("host", r"\.")
+    domain = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), 3), ".")  # three labels at most
     kind = F.when(F.col("a") % 4 == 0, "domain").when(F.col("a") % 4 == 1, "path").otherwise("host")
     pattern = F.when(kind == "domain", domain).when(kind == "path", F.concat("host", F.lit("/en"))).otherwise(F.col("host"))
     category = F.when(F.col("b") % 3 == 0, "spam").when(F.col("b") % 3 == 1, "adult").otherwise("malware")

@@ -5,10 +5,11 @@ validity intervals, and an as-of join holds every capture against the intervals
 at its fetch time. All of it is DataFrame functions:
 
 * intervals: the events of a pattern in time order, of which only real changes count;
-* captures are matched by host: a host's own patterns and those of its parent domains are
-  gathered once for each distinct host, as one array of intervals in time order, and a
-  capture looks into its host's array. So there is one equi-join on the host, whose list side has one row
-  for each host; a hot host is dealt out by the adaptive skew join and no pairs are made.
+* a capture's keys are its host, its host's parent domains, and its host with the first
+  segment of its path. Each distinct (host, segment, time) is joined by key with the intervals
+  that hold at its time, and what it meets is added up to one row; captures get that row by
+  the same three columns. Keys of a hot host or domain are split by the adaptive skew join, a
+  hot host's captures lie apart by segment and time, and no array grows with a list.
 """
 
 from __future__ import annotations
@@ -33,19 +34,27 @@ def first_segment(url: Column) -> Column:
 
 
 def parents(host: Column) -> Column:
-    """A host and its parent domains of two labels or more; of a host with one label the host."""
+    """A host and all its parent domains, down to the last label."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    return F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: F.array_join(F.slice(labels, k, n), "."))
+    return F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(labels, k, n), "."))
+
+
+def plain_pattern(kind: Column, pattern: Column) -> Column:
+    """A pattern as keys are written: the host in lower case without dots at its ends, a path's first segment as it stands; null if no host is left."""
+    host = F.regexp_replace(F.lower(F.substring_index(pattern, "/", 1)), r"^\.+|\.+$", "")
+    segment = F.regexp_extract(pattern, r"^[^/]*/([^/?#]*)", 1)
+    return F.when(host != "", F.when(kind == "path", F.concat(host, F.lit("/"), segment)).otherwise(host))
 
 
 def validity_intervals(events: DataFrame) -> DataFrame:
     """``(kind, pattern, category, valid_from, valid_to)`` of ``events(kind, pattern, category, action, dated)``; the last is open (null).
 
     The action is ``add`` or ``remove``. An entry holds from its day on and no longer on the day of its removal. If an entry is both added
-    and removed on one day, the removal counts. Adding what holds and removing what doesn't change nothing. Rows with a null and unknown
-    kinds or actions count for nothing.
+    and removed on one day, the removal counts. Adding what holds and removing what doesn't change nothing. Rows with a null, without a host
+    and unknown kinds or actions count for nothing. Patterns are taken as ``plain_pattern`` says; a domain may be one label.
     """
+    events = events.select("kind", plain_pattern(F.col("kind"), F.col("pattern")).alias("pattern"), "category", "action", "dated")
     day = events.where(F.col("kind").isin(*KINDS) & F.col("action").isin("add", "remove") & F.col("pattern").isNotNull() & F.col("category").isNotNull() & F.col("dated").isNotNull())
     day = day.groupBy("kind", "pattern", "category", "dated").agg(F.min(F.col("action") == "add").alias("on"))
     w = Window.partitionBy("kind", "pattern", "category").orderBy("dated")
@@ -61,24 +70,17 @@ def filter_captures(captures: DataFrame, events: DataFrame, url_col: str = "url"
     ``captures``. A capture without a host or a fetch time is not blocked, with n_active 0. Columns of these names in ``captures`` are
     replaced. An empty list blocks nothing.
     """
-    spans = validity_intervals(events)
     new = ["host", "n_active", "category", "pattern", "blocked"]
     keep = F.struct(*[F.col(f"`{c}`") for c in captures.columns if c not in new]).alias("row")  # columns of any name
     base = captures.select(keep, host_of(F.col(url_col)).alias("host"), first_segment(F.col(url_col)).alias("_segment"), F.col(time_col).alias("_time"))
-    hosts = base.select("host").where("host is not null").distinct()
-    keys = hosts.select("host", F.explode(parents("host")).alias("pattern_host"))
-    listed = spans.withColumn("pattern_host", F.when(F.col("kind") == "path", F.substring_index("pattern", "/", 1)).otherwise(F.col("pattern")))
-    listed = listed.withColumn("segment", F.when(F.col("kind") == "path", F.regexp_extract("pattern", r"^[^/]*/(.*)$", 1)))
-    mine = keys.join(listed, "pattern_host").where((F.col("kind") == "domain") | (F.col("host") == F.col("pattern_host")))
-    entry = F.struct((-F.length("pattern")).alias("rank"), "kind", "pattern", "category", "segment", "valid_from", "valid_to")
-    of_host = mine.groupBy("host").agg(F.sort_array(F.collect_list(entry)).alias("_entries"))  # the changes of a host's patterns, not its captures
-    at, here = F.col("_time"), F.col("_segment")
-
-    def holds(e: Column) -> Column:
-        return (e["valid_from"] <= at) & (e["valid_to"].isNull() | (at < e["valid_to"])) & (e["segment"].isNull() | (e["segment"] == here))
-
-    active = F.coalesce(F.filter("_entries", holds), F.array().cast("array<struct<rank:int,kind:string,pattern:string,category:string,segment:string,valid_from:date,valid_to:date>>"))
-    out = base.join(of_host, "host", "left").withColumn("_active", active)
-    out = out.withColumns({"n_active": F.size("_active").cast("bigint"), "category": F.get("_active", F.lit(0))["category"], "pattern": F.get("_active", F.lit(0))["pattern"]})
-    out = out.withColumn("blocked", F.col("n_active") > 0)
+    probe = ["host", "_segment", "_time"]
+    probes = base.select(*probe).where("host is not null and _time is not null").distinct()
+    key = lambda kind, pattern: F.struct(F.lit(kind).alias("kind"), pattern.alias("pattern"))
+    own = F.array(key("host", F.col("host")), key("path", F.concat("host", F.lit("/"), "_segment")))
+    keys = probes.select(*probe, F.explode(F.concat(own, F.transform(parents(F.col("host")), lambda d: key("domain", d)))).alias("_key")).select(*probe, "_key.kind", "_key.pattern")
+    holds = (F.col("valid_from") <= F.col("_time")) & (F.col("valid_to").isNull() | (F.col("_time") < F.col("valid_to")))
+    met = keys.join(validity_intervals(events), ["kind", "pattern"]).where(holds)
+    best = F.min(F.struct((-F.length("pattern")).alias("rank"), "kind", "pattern", "category"))
+    met = met.groupBy(*probe).agg(F.count("*").alias("n_active"), best.alias("_best")).select(*probe, "n_active", F.col("_best.category").alias("category"), F.col("_best.pattern").alias("pattern"))
+    out = base.join(met, probe, "left").withColumn("n_active", F.coalesce("n_active", F.lit(0).cast("bigint"))).withColumn("blocked", F.col("n_active") > 0)
     return out.select("row.*", *new)
