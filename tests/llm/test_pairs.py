@@ -134,6 +134,33 @@ def test_lattice_tiles_lose_no_link(spark, monkeypatch):
     assert all(r.n_links <= want[r.vec_id][0] for r in got.collect())
 
 
+@pytest.mark.parametrize("level", [0, 1, 2])
+@pytest.mark.parametrize("dim", [64, 256])
+def test_levels_meet_near_vectors_and_fewer_others(level, dim):
+    p, rng = lattice.LEVELS[level][1], np.random.default_rng(level)
+    a = lattice.unit(rng.normal(size=(1500, dim)))
+    side = rng.normal(size=a.shape)
+    side = lattice.unit(side - (side * a).sum(axis=1, keepdims=True) * a)
+    near = 0.93 * a + np.sqrt(1 - 0.93**2) * side
+
+    def meet(x, y):
+        return ((x[:, :, :1] == y).any(axis=2) | (y[:, :, :1] == x).any(axis=2)).any(axis=1)
+
+    one, two = lattice.cells(a, p), lattice.cells(near, p)
+    others = np.mean([meet(one, np.roll(one, k, axis=0)).mean() for k in range(1, 40)])
+    assert meet(one, two).mean() >= 0.99 and others < (0.03, 0.0003, 0.0003)[level]
+
+
+@pytest.mark.parametrize("level", [1, 2])
+def test_finer_levels_and_labels_of_any_type_match_brute_force(spark, monkeypatch, level):
+    monkeypatch.setattr(lattice, "LEVELS", [(8, lattice.LatticeParams()), (1 << 62, lattice.LEVELS[level][1])])
+    rows = vector_rows()
+    docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").withColumn("label", F.concat(F.lit("label "), "label"))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in lattice.near_duplicate_vectors(docs).collect()}
+    want = brute.vector_links(rows)
+    assert sum(got[k] == want[k] for k in want) >= 0.99 * len(want) and all(got[k][0] <= want[k][0] for k in want)
+
+
 def test_lattice_takes_empty_tables_and_null_ids(spark):
     schema = "vec_id bigint, embedding array<float>, label int, rep int, cell int"
     assert lattice.near_duplicate_vectors(spark.createDataFrame([], schema)).count() == 0
