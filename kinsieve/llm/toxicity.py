@@ -33,9 +33,10 @@ class ToxicityParams:
     buckets: int = 1 << 17  #: rows of the n-gram table, whatever the number of texts
     n_min: int = 3
     n_max: int = 6
-    chance_z: float = 2.0  #: standard errors that chance alone may give; z0 of the shrinkage
+    chance_z: float = 3.0  #: standard errors that chance alone may give; z0 of the shrinkage
     scale: float = 100.0  #: of a text's mean, so that rates suit words that are some hundredths of a text
     epochs: int = 40
+    least_steps: int = 400  #: few texts are gone through more often, until there were this many batches
     batch: int = 64
     rate: float = 0.01
     ridge: float = 1e-5
@@ -148,8 +149,9 @@ def fit_bags(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, shrink: n
     soft, b = rng.normal(0, 1 / p.dim, (p.dim, 2)), np.array([0.0, bias])
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in (emb, soft, b)]
     step = 0
-    for epoch in range(p.epochs):
-        rate = p.rate * (1 - epoch / p.epochs)
+    epochs = max(p.epochs, -(-p.least_steps // -(-len(y) // p.batch)))
+    for epoch in range(epochs):
+        rate = p.rate * (1 - epoch / epochs)
         order = rng.permutation(len(y))
         for lo in range(0, len(y), p.batch):
             pick = order[lo : lo + p.batch]

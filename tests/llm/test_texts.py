@@ -131,7 +131,7 @@ def plain_toxicity(given, labels, p):
 
 
 def test_toxicity_matches_a_plain_version(spark):
-    p = toxicity.ToxicityParams(dim=3, buckets=128, epochs=8, batch=8, rate=0.1)
+    p = toxicity.ToxicityParams(dim=3, buckets=128, epochs=8, batch=8, rate=0.1, chance_z=2.0, least_steps=0)
     given, y = bad_texts(30)
     ids = [k for k in range(200) if py_fold(k, 3) != 1][:30]
     docs = spark.createDataFrame([(i, t.decode()) for i, t in zip(ids, given, strict=True)], "doc_id bigint, text string")
