@@ -43,11 +43,11 @@ def link(pairs: DataFrame, model: LinkModel, tau: float | None = None) -> DataFr
 
 def _best_first(scored: DataFrame) -> Window:
     more = [F.col("blocking_score").desc()] if "blocking_score" in scored.columns else []
-    return Window.partitionBy("query_id").orderBy(F.col("match_probability").desc(), *more, F.col("position").asc())
+    return Window.partitionBy("query_id").orderBy(F.round("match_probability", 9).desc(), *more, F.col("position").asc())
 
 
 def ranked(matches: DataFrame) -> DataFrame:
-    """Matches with ``match_rank`` in their query: by probability, then blocking score, then position."""
+    """Matches with ``match_rank`` in their query: by probability (equal to 9 decimals is a tie), then blocking score, then position."""
     return matches.withColumn("match_rank", F.row_number().over(_best_first(matches)))
 
 

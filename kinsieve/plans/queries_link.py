@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from kinsieve.operators import blocking, comparison, evaluation as ev, model as m, scoring, synth, training
 
+from kinsieve.operators.embedding import LetterCountEmbedder
+
 from . import fixture as X
+from .resolve import K, Resolver
 
 TAU = m.TAU
 TAUS = (0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 0.99)
@@ -51,10 +54,16 @@ def link_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p6(scoring.link(_pairs(spark, sf_dir), m.LinkModel.untrained()).select("query_id", "position", "match_probability"))
 
 
+def _resolver(spark: SparkSession, sf_dir: str) -> tuple[Resolver, DataFrame]:
+    """The whole pipeline (nearest neighbours, comparison, score, decision) over all people, and the queries whose id is divisible by 50."""
+    return Resolver.default(X.person(spark, sf_dir), LetterCountEmbedder()), X.query(spark, sf_dir).where("query_id % 50 = 0")
+
+
 def pipeline_resolve_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every query's matches, ranked, with the record found."""
-    found = scoring.link(_pairs(spark, sf_dir), m.LinkModel.untrained()).withColumn("match_probability", F.round("match_probability", 6))
-    return scoring.ranked(found).select("query_id", "position", "match_rank", "match_probability", F.col("first_name_r").alias("first_name"), F.col("last_name_r").alias("last_name"))
+    """The queries' matches, ranked, with the record found."""
+    resolver, queries = _resolver(spark, sf_dir)
+    found = resolver.resolve(queries).select("query_id", "position", "match_rank", "match_probability", "blocking_score", "first_name", "last_name")
+    return found.withColumns({c: F.round(c, 6) for c in ("match_probability", "blocking_score")})
 
 
 def link_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +77,9 @@ def link_all_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolver_rule_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The one-record resolver's scores: only pairs that share its rules."""
-    pairs = blocking.agreeing(_pairs(spark, sf_dir), blocking.RESOLVER_RULES)
-    return scoring.best_match(_p6(scoring.link(pairs, m.LinkModel.untrained()))).select("query_id", "position", "match_probability")
+    """The one-record resolver: the best of a query's nearest neighbours that share a rule with it, whatever its probability."""
+    resolver, queries = _resolver(spark, sf_dir)
+    return resolver.resolve_best(queries, tau=0.0).select("query_id", "position", F.round("match_probability", 6).alias("match_probability"), F.round("blocking_score", 6).alias("blocking_score"))
 
 
 def max_probability_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +183,7 @@ def em_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def em_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fitted = training.train(X.person(spark, sf_dir), m.LinkModel.untrained(), max_pairs=200_000)
+    fitted = training.train(X.person(spark, sf_dir), m.LinkModel.untrained())
     rows = [(c.name, v, x.label, x.m, x.u, fitted.prior) for c in fitted.comparisons for x, v in zip(c.levels, c.values, strict=True) if not x.is_null]
     return spark.createDataFrame(rows, "comparison string, level int, label string, m double, u double, prior double")
 
@@ -226,15 +235,24 @@ _LABELLED = f"{X.BASE_SQL}, {_CLOSE}, cand as (" + " union all ".join(f"select {
 _LEVELS_ALL = "levels as (" + " union all ".join(f"select '{f}' as comparison, {k} as level, {n + 1} as n_levels" for f, n in X.LEVELS.items() for k in range(n)) + ")"
 _LONG = " union all ".join(f"select '{f}' as comparison, gamma_{f} as level{{extra}} from gam" for f in X.LEVELS)
 _BEST = "(partition by query_id order by match_probability desc, position)"
+_TEXT_SQL = "'First Name: ' || first_name || chr(10) || 'Last Name: ' || last_name || chr(10) || 'Date of Birth: ' || date_of_birth || case when coalesce(address, '') <> '' then chr(10) || 'Address: ' || address else '' end || case when coalesce(email, '') <> '' then chr(10) || 'Email: ' || email else '' end"
+_COUNT_SQL = "[" + ", ".join(f"(length(t) - length(replace(t, '{c}', '')))::double" for c in LetterCountEmbedder.LETTERS) + "]"
+_VECTORS_SQL = "".join(f", {n}_v as (select {i}, {_COUNT_SQL} as v from (select {i}, lower({_TEXT_SQL}) as t from {n}{w}))" for n, i, w in (("query", "query_id", " where query_id % 50 = 0"), ("person", "position", "")))
+_NEAREST_SQL = f""", near as (select * from (select query_id, position, round(list_cosine_similarity(q.v, p.v), 9) as blocking_score, row_number() over (partition by query_id order by round(list_cosine_similarity(q.v, p.v), 9) desc, position) as rank
+  from query_v q cross join person_v p) where rank <= {K}), cand as (select near.query_id, near.position, blocking_score, {X.PAIR_FIELDS_SQL} from near join query q using (query_id) join person p using (position))"""
+_RESOLVED_SQL = f"{X.BASE_SQL}{_VECTORS_SQL}{_NEAREST_SQL}, {X.GAMMA_SQL}, {X.score_sql()}"
+_SHARE_SQL = "(first_name_l = first_name_r and last_name_l = last_name_r or date_of_birth_l = date_of_birth_r)"
 _LINKED = f"{X.SCORED_SQL}, linked as (select query_id, position, round(match_probability, 6) as match_probability from scored where match_probability >= {TAU}), rk as (select *, row_number() over {_BEST} as match_rank from linked)"
 
 ORACLE_SQL = {
     "match_weights": f"{X.SCORED_SQL} select query_id, position, round(match_weight, 6) as match_weight from scored",
     "match_probability": f"{X.SCORED_SQL} select query_id, position, round(match_probability, 6) as match_probability from scored",
     "link_threshold": f"{_LINKED} select * from linked",
-    "pipeline_resolve_batch": f"{_LINKED} select query_id, position, cast(match_rank as int) as match_rank, match_probability, first_name, last_name from rk join person using (position)",
+    "pipeline_resolve_batch": f"""{_RESOLVED_SQL} select query_id, position, cast(row_number() over (partition by query_id order by round(match_probability, 9) desc, blocking_score desc, position) as int) as match_rank,
+      round(match_probability, 6) as match_probability, round(blocking_score, 6) as blocking_score, first_name_r as first_name, last_name_r as last_name from scored join cand using (query_id, position) where match_probability >= {TAU}""",
     "link_best_match": f"{_LINKED} select query_id, position, match_probability from rk where match_rank = 1",
-    "resolver_rule_filter": f"{_LINKED} select query_id, position, match_probability from rk where match_rank = 1",
+    "resolver_rule_filter": f"""{_RESOLVED_SQL} select query_id, position, round(match_probability, 6) as match_probability, round(blocking_score, 6) as blocking_score from (
+      select *, row_number() over (partition by query_id order by round(match_probability, 9) desc, blocking_score desc, position) as n from scored join cand using (query_id, position) where {_SHARE_SQL}) where n = 1""",
     "link_all_candidates": f"{X.SCORED_SQL} select query_id, position, case when match_probability >= {TAU} then round(match_probability, 6) end as match_probability from scored",
     "max_probability_per_query": f"{X.CASES_SQL} select query_id, round(probability, 6) as probability from cases",
     "matched_queries": f"{_LINKED} select distinct query_id from linked",

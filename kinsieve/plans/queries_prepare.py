@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from kinsieve.functions import strings as S
 from kinsieve.functions.text import person_text
 from kinsieve.operators import blocking, comparison, sampling, synth
+from kinsieve.operators.embedding import LetterCountEmbedder
 from kinsieve.sources import store, voter
 
 from . import fixture as X
 
 SAMPLE = 200
+#: Fixed value: the share of people who have a twin.
+MATCH_RATE = 0.03
 
 
 def _text(strategy: str):
@@ -73,7 +76,7 @@ def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duplicate_bearing_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twins of a sample of the people, after all of them."""
     p = X.person(spark, sf_dir)
-    twins = X.close_person(sampling.uniform_sample(p, SAMPLE, "position"))
+    twins = X.close_person(sampling.rate_sample(p, MATCH_RATE, "position"))
     return synth.duplicate_bearing(p, twins, p.count())
 
 
@@ -82,10 +85,10 @@ def uniform_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_add(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The unrelated people after the others; both keep their order by position."""
-    p = X.person(spark, sf_dir)
-    more = X.unrelated_person(spark, sf_dir).withColumn("position", F.col("position") + p.count())
-    return store.replace_rows(p, more)
+    """The unrelated people added to a store of the others, in the order of their positions."""
+    more = X.unrelated_person(spark, sf_dir).orderBy("position").drop("position")
+    added = store.ParquetStore.build(X.person(spark, sf_dir), LetterCountEmbedder()).add(more)
+    return added.rows().select("position", *X.FIELDS)
 
 
 def store_update(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +219,7 @@ ORACLE_SQL = {
     "labelled_cases": f"{X.BASE_SQL}, {_CLOSE} select 'Q_' || position || '_identical' as query_id, 'identical' as category, true as expected_match, position as true_position, {_F} from person"
     f" union all select 'Q_' || position || '_close_same_entity', 'close_same_entity', true, position, {_F} from twin union all select 'Q_' || position || '_unrelated', 'unrelated', false, -1, {_F} from stranger",
     "labelled_pairs": f"{X.BASE_SQL}, {_CLOSE} " + " union all ".join(f"select {_PAIRED}, {m} as is_match from person a join {t} b using (position)" for t, m in (("person", 1), ("twin", 1), ("stranger", 0))),
-    "duplicate_bearing_reference": f"{X.BASE_SQL}, {_CLOSE}, s as (select position from person order by md5('42:' || position), position limit {SAMPLE}) "
+    "duplicate_bearing_reference": f"{X.BASE_SQL}, {_CLOSE}, s as (select position from person order by md5('42:' || position), position limit (select cast(round(count(*) * {MATCH_RATE}) as bigint) from person)) "
     f"select position, {_F}, position as origin from person union all select position + (select count(*) from person), {_F}, position from twin where position in (select position from s)",
     "uniform_sample": f"select o_orderkey, o_totalprice from orders order by md5('42:' || o_orderkey), o_orderkey limit {SAMPLE}",
     "store_add": f"{X.BASE_SQL} select * from person union all select position + (select count(*) from person), {_F} from stranger",

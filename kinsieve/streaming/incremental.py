@@ -8,19 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from kinsieve.plans.resolve import Resolver
-from kinsieve.sources.store import ParquetStore
+from kinsieve.sources.store import OWN_TEXT, ParquetStore, is_saved
 
 
 def append_stream(records: DataFrame, store: ParquetStore, path: str, checkpoint: str) -> StreamingQuery:
-    """Append each batch of a record stream to the store saved at ``path``. A batch that runs again is told by its number and not added twice."""
-    store.save(path)
-    done: dict[str, int] = {"batch": -1}
+    """Append each batch of a record stream to the store saved at ``path``; ``store`` is saved there first if nothing is.
+
+    A batch writes files of its own. Its number is kept with the store, by the stream's checkpoint: a batch that runs again, or a stream that
+    starts again, adds nothing twice and takes nothing back.
+    """
+    if not is_saved(records.sparkSession, path):
+        store.save(path)
+    text = store.text if store.strategy == OWN_TEXT else None
 
     def add(batch: DataFrame, number: int) -> None:
-        if number <= done["batch"] or batch.isEmpty():
-            return
-        ParquetStore.load(batch.sparkSession, path, store.embedder).add(batch).save(path)
-        done["batch"] = number
+        if not batch.isEmpty():
+            ParquetStore.append(batch.sparkSession, path, batch, checkpoint, number, store.embedder, text)
 
     return records.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).start()
 

@@ -224,3 +224,40 @@ def test_streams(spark, people, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.position for r in found if r.match_rank == 1} >= {0}
+
+
+def test_streams_start_again_without_loss(spark, people, tmp_path):
+    source, path, checkpoint = str(tmp_path / "in"), str(tmp_path / "live"), str(tmp_path / "cp")
+    base = store.ParquetStore.build(people)
+
+    def feed(lo, hi):
+        people.where(f"position >= {lo} and position < {hi}").drop("position").coalesce(1).write.mode("append").parquet(source)
+        q = incremental.append_stream(spark.readStream.schema(records.PERSON).parquet(source), base, path, checkpoint)
+        q.processAllAvailable()
+        q.stop()
+        rows = store.ParquetStore.load(spark, path).rows()
+        assert sorted(r.position for r in rows.collect()) == list(range(rows.count()))
+        return rows.count()
+
+    assert feed(0, 4) == 64
+    assert feed(4, 9) == 69  # a second start neither goes back to the base nor adds the first batch again
+    assert not store.ParquetStore.append(spark, path, people.drop("position"), checkpoint, 1)  # a batch that runs again
+    assert len(store.ParquetStore.load(spark, path)) == 69
+    assert store.ParquetStore.append(spark, path, people.drop("position").limit(2), "another stream", 0) and len(store.ParquetStore.load(spark, path)) == 71
+
+
+def test_stores_keep_their_text_and_dimension(spark, people, tmp_path):
+    from kinsieve.functions.text import person_text
+    from kinsieve.operators.embedding import HashedNGramEmbedder, ModelEmbedder
+
+    path = str(tmp_path / "compact")
+    store.ParquetStore.build(people, text="compact").save(path)
+    loaded = store.ParquetStore.load(spark, path)
+    assert loaded.strategy == "compact" and "|" in loaded.add(people.limit(1).drop("position")).rows().orderBy("position").collect()[-1].text
+    store.ParquetStore.build(people, text=person_text("compact")).save(path)
+    with pytest.raises(ValueError):
+        store.ParquetStore.load(spark, path)
+    assert "|" in store.ParquetStore.load(spark, path, text=person_text("compact")).reindex().rows().first().text
+    other = store.ParquetStore(store.ParquetStore.build(people, HashedNGramEmbedder(16)).rows(), ModelEmbedder("three", lambda: lambda texts: [[1.0, 2.0, 3.0]] * len(texts)))
+    with pytest.raises(Exception, match="16 places"):
+        other.add(people.limit(2).drop("position")).rows().collect()
