@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from kinsieve.functions.strings import swap_last
 
+from .sampling import seeded_hash
+
 #: Names and places to draw from (our own lists).
 FIRST = "Ada Boris Clara Dmitri Elena Farid Greta Hugo Ines Jonas Kira Lars Mona Nils Olga Pavel Quinn Rosa Sven Tara Ulla Viktor Wanda Xenia Yusuf Zora Aron Bella Cyrus Dora Emil Frida Gino Hanna Igor Julia Karl Lena Milo Nora".split()
 LAST = "Abrams Becker Castro Dalton Ekberg Fischer Garner Holm Ivers Jensen Keller Lindt Moreau Norris Olsen Palmer Quist Rossi Strand Turner Ullman Varga Weber Xander Young Zimmer Arndt Bloom Corbin Dunne Ellis Frost Grant Hayes Ingram Joyce Knight Lowell Mercer Nash".split()
@@ -24,12 +26,12 @@ LONG_FORMS = [("St ", "Street "), ("St.", "Street"), ("Ave ", "Avenue "), ("Ave.
 
 
 def _hash(seed: int, tag: str, key: str = "position") -> Column:
-    return F.xxhash64(F.col(key), F.lit(seed), F.lit(tag))
+    return seeded_hash(F.col(key), seed, tag)
 
 
 def uniform(seed: int, tag: str, key: str = "position") -> Column:
     """A number from 0 to below 1."""
-    return F.shiftrightunsigned(_hash(seed, tag, key), 11) / F.lit(float(1 << 53))
+    return F.shiftright(_hash(seed, tag, key), 7) / F.lit(float(1 << 53))
 
 
 def pick(values: list[str], seed: int, tag: str) -> Column:

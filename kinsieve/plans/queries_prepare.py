@@ -11,7 +11,7 @@ from kinsieve.operators import blocking, comparison, sampling, synth
 from kinsieve.operators.embedding import LetterCountEmbedder
 from kinsieve.sources import store, voter
 
-from . import fixture as X
+from . import fixture as X, synth_sql
 
 SAMPLE = 200
 #: Fixed value: the share of people who have a twin.
@@ -200,6 +200,10 @@ _VOTER = """with p as (select c_custkey as i, {first} as first_name, {last} as l
     case when i % 4 = 0 then '' else 'RALEIGH' end as city, case when i % 5 = 0 then '' else 'NC' end as state, case when i % 9 = 0 then '' else cast(27000 + i % 900 as varchar) end as zip_code,
     case when i % 2 = 0 then 'PO BOX 7' else '' end as mail from p)""".format(first=X.person_sql("c_custkey")["first_name"], last=X.person_sql("c_custkey")["last_name"])
 
+_VOTER_PERSON = """select first_name, last_name, birth_year || '-01-01' as date_of_birth,
+      case when street_address <> '' and upper(street_address) <> 'REMOVED' then concat_ws(', ', street_address, nullif(city, ''), nullif(state, ''), nullif(zip_code, '')) end as address,
+      cast(null as varchar) as email, voter_reg_num from src where first_name <> '' and last_name <> '' and birth_year <> ''"""
+
 ORACLE_SQL = {
     "text_default": _line_sql(["address", "email"]),
     "text_identity_first": _line_sql(["email", "address"]),
@@ -227,9 +231,10 @@ ORACLE_SQL = {
     "store_delete_compact": f"{X.BASE_SQL} select row_number() over (order by position) - 1 as position, {_F} from person where position % 5 <> 2",
     "voter_extract": f"{_VOTER} select voter_reg_num, first_name, last_name, birth_year, street_address, city, state, zip_code from src where first_name <> '' and last_name <> ''",
     "voter_extract_counts": f"{_VOTER} select count(*) as seen, count(*) filter (where first_name <> '' and last_name <> '') as kept from src",
-    "voter_person": f"""{_VOTER} select first_name, last_name, birth_year || '-01-01' as date_of_birth,
-      case when street_address <> '' and upper(street_address) <> 'REMOVED' then concat_ws(', ', street_address, nullif(city, ''), nullif(state, ''), nullif(zip_code, '')) end as address,
-      cast(null as varchar) as email, voter_reg_num from src where first_name <> '' and last_name <> '' and birth_year <> ''""",
+    "voter_person": f"{_VOTER} {_VOTER_PERSON}",
+    "generate_people": synth_sql.people_sql("select row_number() over () - 1 as position from customer"),
+    "vary_persons": synth_sql.variations_sql(X.BASE_SQL),
+    "mutate_persons": synth_sql.mutations_sql(f"{_VOTER}, person as (select cast(substr(voter_reg_num, 2) as bigint) as position, first_name, last_name, date_of_birth, address, email from ({_VOTER_PERSON}))"),
     "voter_address_fallback": f"""{_VOTER} select voter_reg_num, case when street_address <> '' then concat_ws(', ', street_address, nullif(city, ''), nullif(state, ''), nullif(zip_code, ''))
       else concat_ws(', ', nullif(mail, ''), coalesce(nullif(city, ''), 'DURHAM'), coalesce(nullif(state, ''), 'VA'), coalesce(nullif(zip_code, ''), '28000')) end as address from src""",
 }

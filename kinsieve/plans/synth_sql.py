@@ -1,0 +1,92 @@
+"""The generators of people and noise said in SQL, for the queries that hold them against another engine."""
+
+from __future__ import annotations
+
+from kinsieve.operators import synth
+
+from . import fixture as X
+
+
+def hash_sql(seed: int, tag: str, key: str = "position") -> str:
+    return f"cast('0x' || left(md5('{seed}:{tag}:' || {key}), 15) as bigint)"
+
+
+def uniform_sql(seed: int, tag: str) -> str:
+    return f"(({hash_sql(seed, tag)} >> 7) / 9007199254740992.0::double)"
+
+
+def number_sql(low: int, high: int, seed: int, tag: str) -> str:
+    return f"({low} + {hash_sql(seed, tag)} % {high - low + 1})"
+
+
+def pick_sql(values: list[str], seed: int, tag: str) -> str:
+    return f"list_extract({values!r}, 1 + {hash_sql(seed, tag)} % {len(values)})"
+
+
+def typo_sql(c: str, seed: int) -> str:
+    """``c`` with the character at a drawn place replaced; the place is ``at_<c>`` of the rows."""
+    return f"case when length({c}) > 0 then substr({c}, 1, at_{c} - 1) || chr(cast({number_sql(97, 122, seed, f'{c} letter')} as int)) || substr({c}, at_{c} + 1) else {c} end"
+
+
+def _places(seed: int) -> str:
+    return ", ".join(f"1 + {hash_sql(seed, f'{c} place')} % greatest(length({c}), 1) as at_{c}" for c in ("first_name", "last_name"))
+
+
+def _changed(new: dict[str, str], old: str) -> str:
+    """``varied`` from ``old`` with new values ``n_<field>``, then the last name changed wherever nothing else did."""
+    made = ", ".join(f"{x} as n_{c}" for c, x in new.items())
+    same = " and ".join(f"{c} is not distinct from n_{c}" for c in new)
+    last = X.SWAP_SQL("last_name")
+    forced = f"case when length(last_name) < 2 or {last} = last_name then last_name || 'x' else {last} end"
+    final = ", ".join(f"case when {same} then {forced} else n_{c} end as {c}" if c == "last_name" else f"n_{c} as {c}" if c in new else c for c in X.FIELDS)
+    return f"varied as (select *, {made} from {old}) select position, {final} from varied"
+
+
+def people_sql(count: str, missing_rate: float = synth.MISSING_RATE, seed: int = 42) -> str:
+    n = lambda low, high, tag: number_sql(low, high, seed, tag)
+    pick = lambda values, tag: pick_sql(values, seed, tag)
+    letter = lambda tag: f"chr(cast({n(65, 90, tag)} as int))"
+    postal = f"{letter('z1')} || {n(0, 9, 'z2')} || {letter('z3')} || ' ' || {n(0, 9, 'z4')} || {letter('z5')} || {n(0, 9, 'z6')}"
+    street = f"{n(1, 9999, 'house')} || ' ' || {pick(synth.STREETS, 'street')} || ' ' || {pick(synth.KINDS, 'kind')}"
+    address = f"{street} || ', ' || {pick(synth.CITIES, 'city')} || ', ' || {pick(synth.PROVINCES, 'province')} || ' ' || {postal}"
+    email = f"lower(first_name) || '.' || lower(last_name) || {n(1, 999, 'mail')} || '@' || {pick(synth.DOMAINS, 'domain')}"
+    return f"""with ids as ({count}), named as (select position, {pick(synth.FIRST, 'first')} as first_name, {pick(synth.LAST, 'last')} as last_name from ids)
+      select position, first_name, last_name, strftime(date '2024-12-31' - cast({n(14 * 365, 94 * 365, 'born')} as int), '%Y-%m-%d') as date_of_birth,
+        case when {uniform_sql(seed, 'no address')} >= {missing_rate} then {address} end as address, case when {uniform_sql(seed, 'no email')} >= {missing_rate} then {email} end as email from named"""
+
+
+def variations_sql(people: str, rate: float = synth.VARIATION_RATE, seed: int = 42) -> str:
+    """Variations, each person changed; ``people`` is a WITH clause that ends with the rows ``person``."""
+    on = lambda tag: f"{uniform_sql(seed, tag)} < {rate}"
+    steps, at = "", "person"
+    for k, (short, long) in enumerate(synth.LONG_FORMS):
+        old = f"long_{k - 1}" if k else "address"
+        steps += f", form_{k} as (select *, case when {uniform_sql(seed, f'form {k}')} < 0.5 then replace({old}, '{short}', '{long}') else {old} end as long_{k} from {at})"
+        at = f"form_{k}"
+    address = f"long_{len(synth.LONG_FORMS) - 1}"
+    email = f"split_part(email, '@', 1) || {number_sql(1, 99, seed, 'mail digits')} || '@' || split_part(email, '@', -1)"
+    new = {
+        **{c: f"case when {on(c)} and length({c}) > 2 then {typo_sql(c, seed)} else {c} end" for c in ("first_name", "last_name")},
+        "address": f"case when {on('address')} then {address} else address end",
+        "email": f"case when {on('email')} and {uniform_sql(seed, 'mail half')} < 0.5 then {email} else email end",
+    }
+    return f"{people}{steps}, placed as (select *, {_places(seed)} from {at}), {_changed(new, 'placed')}"
+
+
+def mutations_sql(people: str, seed: int = 7) -> str:
+    """Noisy duplicates of voters, each changed; ``people`` is a WITH clause that ends with the rows ``person``."""
+    u, r = (lambda tag: uniform_sql(seed, tag)), synth.MUTATION_RATES
+    number = r"'^(\D*)(\d+)(.*)$'"
+    head, digits, tail = (f"regexp_extract(address, {number}, {k})" for k in (1, 2, 3))
+    moved = f"greatest(cast({digits} as bigint) + case when {u('up')} < 0.5 then 1 else -1 end, 0)"
+    house = f"case when {digits} <> '' and {u('house change')} < 0.6 then {head} || {moved} || {tail} else address end"
+    parts = "list_transform(string_split(house, ','), lambda x: trim(x))"
+    short = f"case when {u('city drop')} < 0.4 and len({parts}) >= 2 then array_to_string(list_slice({parts}, 1, len({parts}) - 1), ', ') else house end"
+    year = f"least(greatest(cast(substr(date_of_birth, 1, 4) as int) + case when {u('year up')} < 0.5 then 1 else -1 end, {synth.YEARS[0]}), {synth.YEARS[1]})"
+    new = {
+        **{c: f"case when {u(f'{c} typo')} < {r['name_permute']} then {typo_sql(c, seed)} else {c} end" for c in ("first_name", "last_name")},
+        "date_of_birth": f"case when {u('year')} < {r['dob_year']} then {year} || '-01-01' else date_of_birth end",
+        "address": f"case when {u('drop')} < {r['address_drop']} then null when {u('change')} < {r['address_change']} then nullif(trim(short), '') else address end",
+    }
+    steps = f", housed as (select *, {house} as house from person), shortened as (select *, {short} as short from housed)"
+    return f"{people}{steps}, placed as (select *, {_places(seed)} from shortened), {_changed(new, 'placed')}"
