@@ -191,3 +191,4 @@ PAIRS_SQL = f"{BASE_SQL}, {CANDIDATE_SQL}"
 COMPARED_SQL = f"{PAIRS_SQL}, {GAMMA_SQL}"
 SCORED_SQL = f"{COMPARED_SQL}, {score_sql()}"
 CASES_SQL = f"{SCORED_SQL}, cases as (select q.query_id, q.category, q.expected_match, coalesce(max(s.match_probability), 0.0) as probability from query q left join scored s using (query_id) group by all)"
+TEXT_SQL = "'First Name: ' || first_name || chr(10) || 'Last Name: ' || last_name || chr(10) || 'Date of Birth: ' || date_of_birth || case when coalesce(address, '') <> '' then chr(10) || 'Address: ' || address else '' end || case when coalesce(email, '') <> '' then chr(10) || 'Email: ' || email else '' end"

@@ -235,9 +235,8 @@ _LABELLED = f"{X.BASE_SQL}, {_CLOSE}, cand as (" + " union all ".join(f"select {
 _LEVELS_ALL = "levels as (" + " union all ".join(f"select '{f}' as comparison, {k} as level, {n + 1} as n_levels" for f, n in X.LEVELS.items() for k in range(n)) + ")"
 _LONG = " union all ".join(f"select '{f}' as comparison, gamma_{f} as level{{extra}} from gam" for f in X.LEVELS)
 _BEST = "(partition by query_id order by match_probability desc, position)"
-_TEXT_SQL = "'First Name: ' || first_name || chr(10) || 'Last Name: ' || last_name || chr(10) || 'Date of Birth: ' || date_of_birth || case when coalesce(address, '') <> '' then chr(10) || 'Address: ' || address else '' end || case when coalesce(email, '') <> '' then chr(10) || 'Email: ' || email else '' end"
 _COUNT_SQL = "[" + ", ".join(f"(length(t) - length(replace(t, '{c}', '')))::double" for c in LetterCountEmbedder.LETTERS) + "]"
-_VECTORS_SQL = "".join(f", {n}_v as (select {i}, {_COUNT_SQL} as v from (select {i}, lower({_TEXT_SQL}) as t from {n}{w}))" for n, i, w in (("query", "query_id", " where query_id % 50 = 0"), ("person", "position", "")))
+_VECTORS_SQL = "".join(f", {n}_v as (select {i}, {_COUNT_SQL} as v from (select {i}, lower({X.TEXT_SQL}) as t from {n}{w}))" for n, i, w in (("query", "query_id", " where query_id % 50 = 0"), ("person", "position", "")))
 _NEAREST_SQL = f""", near as (select * from (select query_id, position, round(list_cosine_similarity(q.v, p.v), 9) as blocking_score, row_number() over (partition by query_id order by round(list_cosine_similarity(q.v, p.v), 9) desc, position) as rank
   from query_v q cross join person_v p) where rank <= {K}), cand as (select near.query_id, near.position, blocking_score, {X.PAIR_FIELDS_SQL} from near join query q using (query_id) join person p using (position))"""
 _RESOLVED_SQL = f"{X.BASE_SQL}{_VECTORS_SQL}{_NEAREST_SQL}, {X.GAMMA_SQL}, {X.score_sql()}"
