@@ -11,7 +11,7 @@ from kinsieve.operators import blocking, comparison, evaluation as ev, model as
 
 from kinsieve.operators.embedding import LetterCountEmbedder
 
-from . import fixture as X
+from . import em_sql, fixture as X
 from .resolve import K, Resolver
 
 TAU = m.TAU
@@ -19,6 +19,7 @@ TAUS = (0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 0.99)
 STRENGTHS = (0.6, 0.8, 0.9, 1.0)
 PRIORS = (1e-5, 1e-4, 1e-3, 1e-2)
 STEPS = (1, 7, 101, 333)
+RANDOM_PAIRS = 20_000
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +175,16 @@ def estimate_u_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.u_all_pairs(X.person(spark, sf_dir), comparison.default_comparisons()).withColumn("u", F.round("u", 6))
 
 
+def random_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.random_pairs(X.person(spark, sf_dir).select("position"), RANDOM_PAIRS).select("position_l", "position_r")
+
+
+def estimate_u_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cs = comparison.default_comparisons()
+    compared = comparison.compare(training.random_pairs(X.person(spark, sf_dir), training.MAX_PAIRS), cs)
+    return training.u_frequencies(compared, cs).withColumn("u", F.round("u", 6))
+
+
 def estimate_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.prior_table(X.person(spark, sf_dir), training.TRAINING_RULES).select("n_pairs", F.round("prior", 9).alias("prior"))
 
@@ -184,7 +195,7 @@ def em_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def em_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = training.train(X.person(spark, sf_dir), m.LinkModel.untrained())
-    rows = [(c.name, v, x.label, x.m, x.u, fitted.prior) for c in fitted.comparisons for x, v in zip(c.levels, c.values, strict=True) if not x.is_null]
+    rows = [(c.name, v, x.label, round(x.m, 6), round(x.u, 6), round(fitted.prior, 9)) for c in fitted.comparisons for x, v in zip(c.levels, c.values, strict=True) if not x.is_null]
     return spark.createDataFrame(rows, "comparison string, level int, label string, m double, u double, prior double")
 
 
@@ -193,7 +204,8 @@ QUERIES = {
     for f in (
         match_weights, match_probability, link_threshold, pipeline_resolve_batch, link_best_match, link_all_candidates, resolver_rule_filter, max_probability_per_query, matched_queries,
         confusion_matrix, confusion_by_category, classification_metrics, calibration_bins, latency_percentiles, mean_probability_by_truth, tau_sweep_f1, strength_tau_sweep,
-        best_operating_point, prior_tau_surface, calibrate_m_u, estimate_u_systematic, estimate_u_all_pairs, estimate_prior, em_patterns, em_fit,
+        best_operating_point, prior_tau_surface, calibrate_m_u, estimate_u_systematic, estimate_u_all_pairs, random_pairs, estimate_u_random, estimate_prior,
+        em_patterns, em_fit,
     )
 }
 
@@ -276,6 +288,9 @@ ORACLE_SQL = {
     "estimate_u_all_pairs": f"""{X.BASE_SQL}, cand as (select {_PAIRED} from person a join person b on a.position < b.position),
       gam as (select {X.GAMMAS_SQL} from cand), long as ({_LONG.format(extra='')}), c as (select comparison, level, count(*) as n from long where level >= 0 group by all)
       select comparison, cast(level as int) as level, round(n / sum(n) over (partition by comparison), 6) as u from c""",
+    "random_pairs": f"{X.BASE_SQL}, {em_sql.random_pairs_sql(RANDOM_PAIRS)} select position_l, position_r from drawn",
+    "estimate_u_random": f"{X.BASE_SQL}, {em_sql.u_sql(training.MAX_PAIRS)} select comparison, cast(level as int) as level, round(u, 6) as u from u_seen",
+    "em_fit": em_sql.fit_sql(m.LinkModel.untrained()),
     "estimate_prior": f"""{X.BASE_SQL}, c as (select count(*) as n_pairs from person a join person b on a.position < b.position and (a.first_name = b.first_name or a.date_of_birth = b.date_of_birth))
       select n_pairs, round(least(n_pairs / 0.7::double / (select count(*) * (count(*) - 1) / 2 from person), 1.0), 9) as prior from c""",
     "em_patterns": f"""{X.BASE_SQL}, cand as (select {_PAIRED} from person a join person b on a.date_of_birth = b.date_of_birth and a.position < b.position), gam as (select {X.GAMMAS_SQL} from cand)
