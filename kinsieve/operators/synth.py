@@ -79,7 +79,8 @@ def introduce_variations(people: DataFrame, rate: float = VARIATION_RATE, seed:
     name = lambda c: F.when(on(c) & (F.length(c) > 2), typo(F.col(c), seed, c)).otherwise(F.col(c))
     address = F.col("address")
     for k, (short, long) in enumerate(LONG_FORMS):
-        address = F.when(uniform(seed, f"form {k}") < 0.5, F.replace(address, F.lit(short), F.lit(long))).otherwise(address)
+        # the address stands in the expression once: twice a step would double it at each
+        address = F.replace(address, F.lit(short), F.when(uniform(seed, f"form {k}") < 0.5, F.lit(long)).otherwise(F.lit(short)))
     email = F.concat(F.substring_index("email", "@", 1), number(1, 99, seed, "mail digits").cast("string"), F.lit("@"), F.substring_index("email", "@", -1))
     new = {
         "first_name": name("first_name"),
