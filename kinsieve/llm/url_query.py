@@ -37,6 +37,7 @@ def list_events(pages: DataFrame) -> DataFrame:
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every capture with the entries active when it was fetched; a null URL, or one without a host, is matched by none and stays."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     got = filter_captures(captures(pages), list_events(pages))
     return got.select("page_id", "host", F.date_format("fetched", "yyyy-MM-dd").alias("fetched"), "n_active", "category", "pattern", "blocked")
