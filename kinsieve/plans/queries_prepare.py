@@ -223,7 +223,7 @@ ORACLE_SQL = {
     "labelled_cases": f"{X.BASE_SQL}, {_CLOSE} select 'Q_' || position || '_identical' as query_id, 'identical' as category, true as expected_match, position as true_position, {_F} from person"
     f" union all select 'Q_' || position || '_close_same_entity', 'close_same_entity', true, position, {_F} from twin union all select 'Q_' || position || '_unrelated', 'unrelated', false, -1, {_F} from stranger",
     "labelled_pairs": f"{X.BASE_SQL}, {_CLOSE} " + " union all ".join(f"select {_PAIRED}, {m} as is_match from person a join {t} b using (position)" for t, m in (("person", 1), ("twin", 1), ("stranger", 0))),
-    "duplicate_bearing_reference": f"{X.BASE_SQL}, {_CLOSE}, s as (select position from person order by md5('42:' || position), position limit (select cast(round(count(*) * {MATCH_RATE}) as bigint) from person)) "
+    "duplicate_bearing_reference": f"{X.BASE_SQL}, {_CLOSE}, s as (select position from person order by md5('42:' || position), position limit (select cast(round_even(count(*) * {MATCH_RATE}::double, 0) as bigint) from person)) "
     f"select position, {_F}, position as origin from person union all select position + (select count(*) from person), {_F}, position from twin where position in (select position from s)",
     "uniform_sample": f"select o_orderkey, o_totalprice from orders order by md5('42:' || o_orderkey), o_orderkey limit {SAMPLE}",
     "store_add": f"{X.BASE_SQL} select * from person union all select position + (select count(*) from person), {_F} from stranger",
