@@ -6,11 +6,14 @@ from kinsieve.operators import training
 from kinsieve.operators.model import LinkModel
 
 from . import fixture as X
-from .synth_sql import hash_sql
 
 PAIRED_SQL = ", ".join(f"a.{f} as {f}_l, b.{f} as {f}_r" for f in X.FIELDS)
 
 
+def hash_sql(seed: int, tag: str, key: str) -> str:
+    return f"cast('0x' || left(md5('{seed}:{tag}:' || {key}), 15) as bigint)"
+
+
 def random_pairs_sql(n_pairs: int, seed: int = 42) -> str:
     """``drawn (position_l, position_r)``: different random pairs of ``person``."""
     place = lambda tag: f"{hash_sql(seed, tag, 'i')} % (select count(*) from person)"
