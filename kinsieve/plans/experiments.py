@@ -13,17 +13,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinsieve.functions.text import person_text
 from kinsieve.operators import blocking, comparison, evaluation as ev, knn, sampling, scoring, synth, training
 from kinsieve.operators.model import TAU, LinkModel
 from kinsieve.sources.records import compact
-from kinsieve.sources.store import ParquetStore
+from kinsieve.sources.store import ParquetStore, stored_bytes
 
 from .resolve import Resolver
 
 #: Defaults of the evaluations.
 KS, TAUS, STRENGTHS = (10, 20, 50, 100), (0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95), (0.6, 0.8, 0.9, 1.0)
 PRIORS, STRATEGIES, SCORING_K = (1e-5, 1e-4, 1e-3, 1e-2), ("default", "identity_first", "compact"), 20
+#: Queries whose single searches are timed, by default.
+LATENCY_SAMPLES = 5
 
 
 def row(df: DataFrame) -> dict:
@@ -34,11 +35,11 @@ def rows(df: DataFrame) -> list[dict]:
     return [r.asDict() for r in df.collect()]
 
 
-def population(spark: SparkSession, count: int, seed: int = 42, require_change: bool = True) -> tuple[DataFrame, DataFrame]:
+def population(spark: SparkSession, count: int, seed: int = 42, require_change: bool = True, missing_rate: float = synth.MISSING_RATE) -> tuple[DataFrame, DataFrame]:
     """People and their labelled queries."""
-    people = synth.generate_people(spark, count, seed=seed).cache()
+    people = synth.generate_people(spark, count, missing_rate, seed).cache()
     close = synth.introduce_variations(people, seed=seed, require_change=require_change)
-    strangers = synth.generate_people(spark, count, seed=seed + 1)
+    strangers = synth.generate_people(spark, count, missing_rate, seed + 1)
     return people, synth.labelled_cases(people, close, strangers).cache()
 
 
@@ -59,47 +60,110 @@ def confusion_experiment(people: DataFrame, cases: DataFrame, model: LinkModel |
     return out | {"timing": {"seconds": time.time() - began}}
 
 
-def suite(people: DataFrame, cases: DataFrame, strategies: Sequence[str] = STRATEGIES, ks: Sequence[int] = KS, taus: Sequence[float] = TAUS, scoring_k: int = SCORING_K, model: LinkModel | None = None) -> dict:
-    """For each serialisation: recall at each k from one search, thresholds, calibration, and seconds a query."""
-    model, out = model or LinkModel.untrained(), {}
+def _latency(store: ParquetStore, cases: DataFrame, k: int, samples: int) -> dict:
+    """Milliseconds of searches for one query each (embedding and blocking), for a uniform sample of the cases."""
+    spark, took = cases.sparkSession, []
+    for r in sampling.uniform_sample(cases, samples, "query_id").collect():
+        one = spark.createDataFrame([r], cases.schema)
+        began = time.perf_counter()
+        store.search(one, k).collect()
+        took.append(((time.perf_counter() - began) * 1000,))
+    if not took:
+        return {"mean": 0.0, "p50": 0.0, "p95": 0.0, "p99": 0.0, "samples": 0}
+    return row(ev.latency_percentiles(spark.createDataFrame(took, "ms double"), "ms")) | {"samples": len(took)}
+
+
+def suite(
+    people: DataFrame, cases: DataFrame, strategies: Sequence[str] = STRATEGIES, ks: Sequence[int] = KS, taus: Sequence[float] = TAUS, scoring_k: int = SCORING_K, model: LinkModel | None = None,
+    storage_dir: str | None = None, latency_samples: int = LATENCY_SAMPLES,
+) -> dict:
+    """For each serialisation: build seconds, stored bytes, recall at each k from one search, thresholds, calibration, latency of single queries, and
+    milliseconds a query from end to end.
+
+    A store is saved below ``storage_dir`` (a folder that all executors share), read again for the searches and left there; without a folder
+    it is cached and the bytes are null. Latency is measured on ``latency_samples`` queries, each a search of its own.
+    """
+    spark, model, out = cases.sparkSession, model or LinkModel.untrained(), {}
+    n = cases.count()
     for strategy in strategies:
-        began = time.time()
-        store = ParquetStore.build(people, text=person_text(strategy))
+        began = time.perf_counter()
+        store, size = ParquetStore.build(people, text=strategy), None
+        if storage_dir:
+            path = f"{storage_dir.rstrip('/')}/{strategy}"
+            store.save(path)
+            store, size = ParquetStore.load(spark, path), stored_bytes(spark, path)
+        else:
+            store.rows().cache().count()
+        build_seconds = time.perf_counter() - began
+        latency = _latency(store, cases, max(ks), latency_samples)
         found = store.search(cases, max(ks)).cache()
-        n = cases.count()
         hits = knn.hit_rank(found, cases)
-        resolver = Resolver(store, model)
         fields = [c for c in cases.columns if c in comparison_fields()]
+        found.count()
+        began = time.perf_counter()
         pairs = blocking.attach(found.where(F.col("rank") <= scoring_k), cases.select("query_id", *fields), store.rows().select("position", *fields))
-        scored = scoring.score(pairs, resolver.model).select("query_id", "match_probability")
+        scored = scoring.score(pairs, model).select("query_id", "match_probability")
         best = best_probability(cases.select("query_id", "category", "expected_match"), scored).cache()
+        best.count()
+        scoring_seconds = time.perf_counter() - began
         out[strategy] = {
+            "build_seconds": build_seconds,
+            "stored_bytes": size,
+            "scoring_k": scoring_k,
             "recall": rows(knn.recall_at_k(hits, list(ks)).orderBy("k")),
             "thresholds": rows(ev.threshold_grid(best, taus).orderBy("tau_order")),
             "calibration": rows(ev.calibration_bins(best).orderBy("bin")),
-            "seconds_a_query": (time.time() - began) / max(n, 1),
+            "latency_ms": latency,
+            "scoring_seconds": scoring_seconds,
+            "end_to_end_ms": latency["mean"] + scoring_seconds / max(n, 1) * 1000,
         }
         found.unpersist()
         best.unpersist()
+        if not storage_dir:
+            store.rows().unpersist()
     return out
 
 
+def suite_tables(spark: SparkSession, got: dict) -> list[DataFrame]:
+    """Recall and threshold tables of a suite's result, for ``write_metrics``: a row for each strategy and parameter."""
+    recall = [("blocking_recall", name, str(r["k"]), float(r["recall"])) for name, x in got.items() for r in x["recall"]]
+    counts = ("tp", "fn", "fp", "tn")
+    measures = ("accuracy", "precision", "recall", "specificity", "f1", "false_match_rate")
+    grid = [("threshold_metrics", name, str(r["tau"]), *[r[c] for c in counts], *[float(r[c]) for c in measures]) for name, x in got.items() for r in x["thresholds"]]
+    head = "`table` string, strategy string, parameter string"
+    return [
+        spark.createDataFrame(recall, f"{head}, recall double"),
+        spark.createDataFrame(grid, ", ".join([head, *[f"{c} bigint" for c in counts], *[f"{c} double" for c in measures]])),
+    ]
+
+
 def comparison_fields() -> list[str]:
     return [f for c in comparison.default_comparisons() for f in c.fields]
 
 
-def ablation_experiment(people: DataFrame, count: int, k: int = SCORING_K, tau: float = TAU, model: LinkModel | None = None) -> list[dict]:
-    """Decisions and recall for each controlled change of the first ``count`` people."""
+def ablation_experiment(people: DataFrame, count: int, k: int = SCORING_K, tau: float = TAU, model: LinkModel | None = None, ks: Sequence[int] = (), taus: Sequence[float] = ()) -> list[dict]:
+    """Decisions and recall for each controlled change of the first ``count`` people; with ``ks`` and ``taus`` also recall at each and the grid of thresholds, from one search."""
     variants = synth.ablation_variants(people.where(F.col("position") < count))
     cases = variants.select(F.concat_ws("_", "category", "true_position").alias("query_id"), F.lit(True).alias("expected_match"), *variants.columns).cache()
-    resolver = Resolver.default(people, model=model or LinkModel.untrained(), k=k)
-    scored = resolver.scored(cases).select("query_id", "position", "rank", "match_probability").cache()
-    best = best_probability(cases.select("query_id", "category", "expected_match", "true_position"), scored.select("query_id", "match_probability")).withColumn("predicted", F.col("probability") >= tau)
-    best = best.join(knn.hit_rank(scored, cases), "query_id", "left")
-    got = ev.confusion_by(best, "category").join(best.groupBy("category").agg(F.avg(F.col("hit_rank").isNotNull().cast("double")).alias("recall_at_k")), "category")
-    out = rows(got.orderBy("category"))
-    cases.unpersist()
-    scored.unpersist()
+    resolver = Resolver.default(people, model=model or LinkModel.untrained(), k=max(k, *ks, 0))
+    found = resolver.candidates(cases).cache()
+    fields = [c for c in cases.columns if c in comparison_fields()]
+    pairs = blocking.attach(found.where(F.col("rank") <= k), cases.select("query_id", *fields), resolver.store.rows().select("position", *fields))
+    scored = scoring.score(pairs, resolver.model).select("query_id", "match_probability")
+    hits = cases.select("query_id", "category").join(knn.hit_rank(found, cases), "query_id")
+    best = best_probability(cases.select("query_id", "category", "expected_match"), scored).cache()
+    predicted = best.withColumn("predicted", F.col("probability") >= tau)
+    within = hits.groupBy("category").agg(F.avg((F.coalesce("hit_rank", F.lit(k + 1)) <= k).cast("double")).alias("recall_at_k"))
+    out = rows(ev.confusion_by(predicted, "category").join(within, "category").orderBy("category"))
+    recall = rows(knn.recall_at_k(hits, list(ks), "category").orderBy("category", "k")) if ks else []
+    grid = rows(ev.threshold_grid(best, taus, "category").orderBy("category", "tau_order")) if taus else []
+    for r in out:
+        if ks:
+            r["blocking_recall"] = [x for x in recall if x["category"] == r["category"]]
+        if taus:
+            r["thresholds"] = [x for x in grid if x["category"] == r["category"]]
+    for df in (cases, found, best):
+        df.unpersist()
     return out
 
 
@@ -110,6 +174,39 @@ def training_variants(people: DataFrame, pairs: DataFrame, max_pairs: int = 200_
     return {"untrained": base, "supervised": training.calibrate(pairs, base), "em": em, "em_prior_reset": em.with_(prior=base.prior)}
 
 
+def trained_model(people: DataFrame, method: str = "supervised", train_rows: int = 2000, smoothing: float = training.SMOOTHING, prior: float | None = None, max_pairs: int = training.MAX_PAIRS,
+                  max_iterations: int = training.MAX_ITERATIONS, convergence: float = training.CONVERGENCE, seed: int = 42) -> LinkModel:
+    """A model fitted from labelled pairs of the first ``train_rows`` people (``supervised``, with ``prior`` or the untrained one), or by ``em`` on all people."""
+    base = LinkModel.untrained()
+    if method == "em":
+        return training.train(people, base, max_pairs=max_pairs, seed=seed, max_iterations=max_iterations, convergence=convergence)
+    if method != "supervised":
+        raise ValueError(f"no training method {method}")
+    some = people.where(F.col("position") < train_rows)
+    close = synth.introduce_variations(some, seed=seed, require_change=True)
+    strangers = synth.generate_people(people.sparkSession, train_rows, seed=seed + 1)
+    model = training.calibrate(synth.labelled_pairs(some, close, strangers), base, smoothing)
+    return model.with_(prior=base.prior if prior is None else prior)
+
+
+def calibration_experiment(people: DataFrame, cases: DataFrame, trained: LinkModel, k: int = SCORING_K, tau: float = TAU) -> dict:
+    """Untrained and trained model at one threshold: matrix, metrics and counts by category of each. Pairs are blocked and compared once, as the models share their levels."""
+    began = time.perf_counter()
+    compared = comparison.compare(Resolver.default(people, model=trained, k=k).pairs(cases), trained.comparisons)
+    compared = compared.select("query_id", *[f"gamma_{c.name}" for c in trained.comparisons]).cache()
+    compared.count()
+    out = {"training": {"prior": trained.prior}, "timing": {"blocking_seconds": time.perf_counter() - began, "query_total_ms": {}}, "variants": {}}
+    for name, model in (("untrained", LinkModel.untrained()), ("trained", trained)):
+        began = time.perf_counter()
+        best = best_probability(cases.select("query_id", "category", "expected_match"), scoring.score(compared, model, compared=True))
+        decided = best.withColumn("predicted", F.col("probability") >= tau).cache()
+        out["variants"][name] = {"result": row(ev.confusion_matrix(decided)), "by_category": rows(ev.confusion_by(decided, "category").orderBy("category"))}
+        out["timing"]["query_total_ms"][name] = (time.perf_counter() - began) * 1000
+        decided.unpersist()
+    compared.unpersist()
+    return out
+
+
 def interaction_experiment(people: DataFrame, cases: DataFrame, variants: dict[str, LinkModel], taus: Sequence[float] = TAUS, k: int = SCORING_K) -> dict:
     """Each model at each threshold: the grid, its best point and mean probabilities. Pairs are blocked and compared once, as the models share their levels."""
     any_model = next(iter(variants.values()))

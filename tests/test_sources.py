@@ -173,6 +173,44 @@ def test_experiments(spark):
     assert {r["category"] for r in ex.ablation_experiment(people, 10, k=5)} == set(synth.ablations())
 
 
+def test_suite_measures(spark, tmp_path):
+    people, cases = ex.population(spark, 20, seed=2)
+    got = ex.suite(people, cases, ["compact", "default"], [1, 10], [0.5, 0.85], storage_dir=str(tmp_path / "stores"), latency_samples=3)
+    one = got["compact"]
+    assert one["stored_bytes"] == store.stored_bytes(spark, str(tmp_path / "stores/compact")) > 0 and one["build_seconds"] > 0
+    latency = one["latency_ms"]
+    assert latency["samples"] == 3 and latency["p50"] <= latency["p95"] <= latency["p99"] and one["end_to_end_ms"] >= latency["mean"] > 0
+    table = records.write_metrics(ex.suite_tables(spark, got), str(tmp_path / "metrics"))
+    assert table.columns == sorted(table.columns) and table.groupBy("table").count().orderBy("table").collect() == [("blocking_recall", 4), ("threshold_metrics", 4)]
+    back = spark.read.option("header", True).csv(str(tmp_path / "metrics"))
+    assert back.where("strategy = 'compact' and parameter = '0.85'").first().f1 == str(one["thresholds"][1]["f1"])
+
+
+def test_ablations_at_each_k_and_threshold(spark):
+    people = synth.generate_people(spark, 20, seed=2)
+    for r in ex.ablation_experiment(people, 5, k=3, ks=[1, 3, 20], taus=[0.5, 0.85]):
+        recall = {x["k"]: x["recall"] for x in r["blocking_recall"]}
+        assert recall[3] == r["recall_at_k"] and recall[20] == 1.0
+        assert [x["tau"] for x in r["thresholds"]] == [0.5, 0.85] and (r["thresholds"][1]["tp"], r["thresholds"][1]["fn"]) == (r["tp"], r["fn"])
+
+
+def test_trained_against_untrained(spark, tmp_path):
+    people, cases = ex.population(spark, 30, seed=2)
+    trained = ex.trained_model(people, "supervised", 30, 0.5, prior=0.01)
+    assert trained.trained and trained.prior == 0.01
+    got = ex.calibration_experiment(people, cases, trained, k=5)["variants"]
+    alone = ex.confusion_experiment(people, cases, trained, k=5)
+    assert got["trained"]["result"] == alone["result"] and got["trained"]["by_category"] == alone["by_category"]
+    assert got["untrained"]["result"] == ex.confusion_experiment(people, cases, k=5)["result"]
+    with pytest.raises(ValueError):
+        ex.trained_model(people, "other")
+    folder, doc = str(tmp_path / "store"), str(tmp_path / "calibration.json")
+    store.ParquetStore.build(people).save(folder)
+    cli.run(spark, ["calibration", "--index-dir", folder, "--count", "10", "--train-rows", "20", "--prior", "0.001", "--output", doc])
+    said = json.loads(open(doc).read())
+    assert said["result"]["training"]["prior"] == 0.001 and {r["category"] for r in said["result"]["variants"]["trained"]["by_category"]} == {"identical", "close_same_entity", "unrelated"}
+
+
 def test_voter_experiments(spark):
     voters = synth.generate_people(spark, 40, seed=8).withColumn("email", F.lit(None).cast("string")).cache()
     assert ex.voter_recall(voters, 10, [5, 40])[-1]["recall"] == 1.0
