@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinsieve.operators import blocking, comparison as C, evaluation as ev, knn, scoring, training
+from kinsieve.operators import blocking, comparison as C, evaluation as ev, knn, sampling, scoring, training
 from kinsieve.operators.model import LinkModel
 
 FIELDS = ["first_name", "last_name", "date_of_birth", "address", "email"]
@@ -126,6 +126,31 @@ def test_knn_in_passes(spark, monkeypatch):
     assert sorted(map(tuple, knn.knn_join_blocks(q, ref, 3).collect())) == want
 
 
+def test_knn_in_tiles(spark, monkeypatch):
+    """Tiles give what one broadcast block gives: ties, zero and null vectors, ids of other types, an empty reference."""
+    rng = np.random.default_rng(2)
+    rows = [(k, [float(x) for x in rng.integers(-2, 3, size=4)]) for k in range(90)] + [(90, [0.0] * 4), (91, None)]
+    ref = spark.createDataFrame(rows, "position bigint, vector array<double>").repartition(4)
+    for kind in ("string", "int"):
+        q = spark.createDataFrame([((f"q{k}" if kind == "string" else k), v) for k, v in rows], f"query_id {kind}, vector array<double>")
+        for normalize in (True, False):
+            monkeypatch.setattr(knn, "MOST_QUERY_BYTES", 64 << 20)
+            want = [sorted(map(tuple, knn.knn_join_blocks(q, ref, k, normalize).collect())) for k in (3, 1000)]
+            monkeypatch.setattr(knn, "MOST_QUERY_BYTES", 600)
+            assert [sorted(map(tuple, knn.knn_join_blocks(q, ref, k, normalize).collect())) for k in (3, 1000)] == want
+    plan = knn.knn_join_blocks(q, ref, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Cartesian" not in plan
+    assert knn.knn_join_blocks(q, ref.where("position < 0"), 3).count() == 0
+
+
+def test_large_samples_equal_small_ones(spark, monkeypatch):
+    df = spark.range(3000).select((F.col("id") % 2000).alias("key"), "id")
+    want = [sorted(r.key for r in sampling.uniform_sample(df, n, "key").collect()) for n in (0, 1, 700, 2999, 3000, 4000)]
+    monkeypatch.setattr(sampling, "MOST_SORTED", 0)
+    got = [sorted(r.key for r in sampling.uniform_sample(df, n, "key").collect()) for n in (0, 1, 700, 2999, 3000, 4000)]
+    assert got == want and [len(x) for x in got] == [0, 1, 700, 2999, 3000, 3000]
+
+
 def test_recall(spark):
     found = spark.createDataFrame([("a", 5, 1), ("a", 6, 2), ("b", 9, 1), ("b", 7, 3)], "query_id string, position bigint, rank int")
     cases = spark.createDataFrame([("a", 6), ("b", 7), ("c", 1), ("d", None)], "query_id string, true_position bigint")
