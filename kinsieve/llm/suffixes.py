@@ -14,7 +14,8 @@ So suffixes are dealt and sorted by anchor:
    bytes a character, and finds runs of equal strings and the least document of each.
 4. The covered places go back to the packs.
 
-Splitters fall between different tokens only, so equal strings always meet in one bucket
+Where a range would still be large, as there is a bound on the number of splitters, it is cut once
+more, by a hash of the token. Splitters fall between different tokens only, so equal strings always meet in one bucket
 and the comparison across a boundary is between different tokens; no run goes on beyond it.
 What a bucket gets of a frequent string is one copy from each pack, not one from each
 document. A token that many packs have may stand in very many different contexts; its
@@ -24,6 +25,7 @@ strings are dealt one by one, by their own hash, so that no range has to hold th
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +40,8 @@ from .common import byte_slices, materialize, n_shuffle
 TOKEN = 16
 #: Bytes of text in a pack, of which a task holds one at a time.
 PACK_BYTES = 4 << 20
-#: Bytes of text for which there is one bucket; splitters are held on the driver, so their number has a bound.
-BUCKET_BYTES, MOST_BUCKETS = 6 << 20, 1 << 16
+#: Bytes of text for which there is one bucket; splitters are held on the driver, so the number of ranges has a bound.
+BUCKET_BYTES, MOST_RANGES = 6 << 20, 1 << 16
 #: A token that this many packs have is a frequent one.
 FREQUENT_PACKS = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -267,8 +269,8 @@ def _tokens(id_col: str, length: int, buckets: int):
         for b in batches:
             for pack, texts, lens, rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 *_, h, bucket, many, _ = _sent(texts, lens, _ids(rest, id_col), length, buckets)
-                cut = np.searchsorted(bucket, np.arange(buckets + 1))
-                rows = [(int(k), squeeze(np.diff(h[x:y], prepend=np.uint64(0)), np.packbits(many[x:y]))) for k, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if x < y]
+                heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else bucket
+                rows = [(int(bucket[x]), squeeze(np.diff(h[x:y], prepend=np.uint64(0)), np.packbits(many[x:y]))) for x, y in zip(heads.tolist(), [*heads[1:].tolist(), len(h)], strict=False)]
                 if rows:
                     yield pa.record_batch([pa.array([k for k, _ in rows], pa.int32()), pa.array([pack] * len(rows)), pa.array([x for _, x in rows], pa.binary())], ["bucket", "pack", "blob"])
 
@@ -290,23 +292,25 @@ def _shared_tokens(pdf: pd.DataFrame, frequent: int) -> pd.DataFrame:
     return pd.DataFrame({"pack": pdf["pack"], "bucket": pdf["bucket"], "bits": bits(m), "often": bits(often)})
 
 
-def _contexts(id_col: str, length: int, buckets: int, splitters: list[bytes]):
-    """The bytes around each anchor that may begin a repeat, by the range of its token."""
+def _contexts(id_col: str, length: int, ranges: int, parts: int, splitters: list[bytes]):
+    """The bytes around each anchor that may begin a repeat, by the range of its token and, in it, by a hash of the token."""
+    buckets = ranges * parts
     edge = np.array([np.frombuffer(s, ">u8") for s in splitters], np.uint64).reshape(-1, 2)
     halves = edge[:, 0].astype(object) * (1 << 64) + edge[:, 1].astype(object) if len(edge) else []
     edges = sorted(halves)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from bisect import bisect_right
+    def bucket_of(token: bytes) -> int:
+        at = bisect_right(edges, int.from_bytes(token, "big")) * parts
+        return at + zlib.crc32(token) % parts if parts > 1 else at
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for pack, texts, lens, rest, bits in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids = _ids(rest, id_col)
                 values, at, (anchor, _, first, last), doc, h, bucket, _, place = _sent(texts, lens, ids, length, buckets)
                 on, often = np.zeros(len(h), bool), np.zeros(len(h), bool)
-                cut = np.searchsorted(bucket, np.arange(buckets + 1))
-                for x in bits:
-                    i, j = cut[x["bucket"]], cut[x["bucket"] + 1]
+                asked = [x["bucket"] for x in bits]
+                for x, i, j in zip(bits, np.searchsorted(bucket, asked).tolist(), np.searchsorted(bucket, asked, "right").tolist(), strict=True):
                     on[i:j] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=j - i).astype(bool)
                     often[i:j] = np.unpackbits(np.frombuffer(x["often"], np.uint8), count=j - i).astype(bool)
                 raw = values.tobytes()
@@ -326,7 +330,7 @@ def _contexts(id_col: str, length: int, buckets: int, splitters: list[bytes]):
                 sample[number[::-1]] = go[::-1]
                 at_token, by_itself = anchor[sample].tolist(), single[sample].tolist()
                 to = np.fromiter(
-                    (zlib.crc32(x) % buckets if alone else bisect_right(edges, int.from_bytes(raw[a : a + TOKEN], "big")) for x, a, alone in zip(known, at_token, by_itself, strict=True)), np.int64, len(known)
+                    (zlib.crc32(x) % buckets if alone else bucket_of(raw[a : a + TOKEN]) for x, a, alone in zip(known, at_token, by_itself, strict=True)), np.int64, len(known)
                 )
                 by_range = np.argsort(to, kind="stable")
                 new = np.empty(len(known), np.int64)
@@ -464,17 +468,19 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         docs.mapInArrow(_pack(names.index(id_col), names.index(text_col), names), "pack bigint, n_bytes bigint, texts binary, lens binary, rest binary, sample array<binary>"), "suffix-packs"
     )
     total = packs.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = min(MOST_BUCKETS, max(n_shuffle(spark), total // BUCKET_BYTES + 1))
-    rate = min(1.0, 64 * buckets / max(1, 32 * total / PACK_BYTES))
+    wanted = max(n_shuffle(spark), total // BUCKET_BYTES + 1)
+    ranges = min(MOST_RANGES, wanted)
+    parts = -(-wanted // ranges)
+    rate = min(1.0, 64 * ranges / max(1, 32 * total / PACK_BYTES))
     picked = packs.select(F.explode("sample").alias("s")).where(F.pmod(F.xxhash64("s"), F.lit(1 << 20)) < int(rate * (1 << 20)))
-    sample = sorted(bytes(r[0]) for r in picked.collect())  # about 64 tokens a bucket at most, by the rate above
-    splitters = sorted({sample[k * len(sample) // buckets] for k in range(1, buckets)}) if sample else []
+    sample = sorted(bytes(r[0]) for r in picked.collect())  # about 64 tokens a range at most, by the rate above
+    splitters = sorted({sample[k * len(sample) // ranges] for k in range(1, ranges)}) if sample else []
     inner = packs.select("pack", "texts", "lens", "rest")
-    tokens = inner.mapInArrow(_tokens(id_col, length, buckets), "bucket int, pack bigint, blob binary")
+    tokens = inner.mapInArrow(_tokens(id_col, length, ranges * parts), "bucket int, pack bigint, blob binary")
     frequent = FREQUENT_PACKS
     bits = tokens.groupBy("bucket").applyInPandas(lambda pdf: _shared_tokens(pdf, frequent), "pack bigint, bucket int, bits binary, often binary")
     bits = bits.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits", "often")).alias("bits"))
-    contexts = inner.join(bits, "pack").select("pack", "texts", "lens", "rest", "bits").mapInArrow(_contexts(id_col, length, buckets, splitters), "bucket int, pack bigint, blob binary")
+    contexts = inner.join(bits, "pack").select("pack", "texts", "lens", "rest", "bits").mapInArrow(_contexts(id_col, length, ranges, parts, splitters), "bucket int, pack bigint, blob binary")
     spans = contexts.groupBy("bucket").applyInPandas(_repeats(length), "pack bigint, spans binary")
     spans = materialize(spans, "suffix-spans").groupBy("pack").agg(F.collect_list("spans").alias("spans"))
     rest = [f"`{c}` {kinds[c]}" for c in names if c != text_col]

@@ -81,6 +81,16 @@ def test_suffix_removal_over_many_packs_and_buckets(spark, monkeypatch, frequent
     assert sorted(digest_rows(suffixes.remove_repeats(docs))) == sorted(brute.remove_repeats(rows))
 
 
+@pytest.mark.parametrize("ranges", [1, 3])
+def test_suffix_removal_where_ranges_are_cut_by_a_hash(spark, monkeypatch, ranges):
+    monkeypatch.setattr(suffixes, "MOST_RANGES", ranges)
+    monkeypatch.setattr(suffixes, "PACK_BYTES", 3000)
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 1000)
+    rows = [(k, texts.prose(k % 7, 50) + texts.prose(50 + k, 30) + "-" * (k * 9)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert sorted(digest_rows(suffixes.remove_repeats(docs))) == sorted(brute.remove_repeats(rows))
+
+
 def test_suffix_removal_takes_null_ids_empty_tables_and_clashing_names(spark):
     got = suffixes.remove_repeats(texts.clashing(texts.edge_docs(spark)))
     assert got.count() == len(texts.edge_rows()) and got.where("doc_id is null").first().spans == []
