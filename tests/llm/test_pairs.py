@@ -1,12 +1,14 @@
 """Near-duplicate operators against brute force."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import brute
 import texts
-from kinsieve.llm import bktree, components, lattice, neardup, simhash, suffixes
+from kinsieve.llm import bktree, common, components, lattice, neardup, simhash, suffixes
 
 
 def rows_of(df, *cols):
@@ -302,3 +304,13 @@ def test_one_of_each_group_stays(spark):
     want = {i for i, c in jaccard_groups([(r[0], r[1]) for r in texts.edge_rows() if r[0] is not None]).items() if i == c}
     assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 1 and got.columns == docs.columns
     assert neardup.one_of_each_group(texts.empty_docs(spark)).count() == 0
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    def session(master, named):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: named), sparkContext=SimpleNamespace(master=master))
+
+    assert common.shared_dir(session("spark://a:7077", "/shared/")) == "/shared"
+    for master in ("spark://a:7077", "yarn", "local-cluster[3,2,3000]"):
+        with pytest.raises(RuntimeError):
+            common.shared_dir(session(master, None))
