@@ -1,6 +1,9 @@
+import datetime
 import json
+import struct
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from kinsieve import cli
@@ -81,6 +84,34 @@ def test_generation_does_not_depend_on_partitions(spark):
     assert data(synth.introduce_variations(a, seed=5)) == data(synth.introduce_variations(a.repartition(5), seed=5))
 
 
+def plain_person(position, seed, missing_rate=synth.MISSING_RATE):
+    """A generated person by plain Python."""
+
+    def draw(tag):
+        x = 42
+        for part in (struct.pack("<q", position), struct.pack("<i", seed), tag.encode()):
+            x = xxhash.xxh64(part, seed=x).intdigest()
+        return x
+
+    number = lambda low, high, tag: low + (draw(tag) - (draw(tag) >> 63 << 64)) % (high - low + 1)
+    pick = lambda values, tag: values[number(0, len(values) - 1, tag)]
+    share = lambda tag: (draw(tag) >> 11) / (1 << 53)
+    letter, digit = (lambda tag: chr(number(65, 90, tag))), (lambda tag: str(number(0, 9, tag)))
+    first, last = pick(synth.FIRST, "first"), pick(synth.LAST, "last")
+    born = datetime.date(2024, 12, 31) - datetime.timedelta(number(14 * 365, 94 * 365, "born"))
+    postal = letter("z1") + digit("z2") + letter("z3") + " " + digit("z4") + letter("z5") + digit("z6")
+    street = f"{number(1, 9999, 'house')} {pick(synth.STREETS, 'street')} {pick(synth.KINDS, 'kind')}"
+    address = f"{street}, {pick(synth.CITIES, 'city')}, {pick(synth.PROVINCES, 'province')} {postal}"
+    email = f"{first.lower()}.{last.lower()}{number(1, 999, 'mail')}@{pick(synth.DOMAINS, 'domain')}"
+    return (position, first, last, born.isoformat(), address if share("no address") >= missing_rate else None, email if share("no email") >= missing_rate else None)
+
+
+def test_generated_people_are_those_of_a_plain_version(spark):
+    for seed in (3, 42):
+        got = synth.generate_people(spark, 300, seed=seed).select("position", *FIELDS).orderBy("position").collect()
+        assert [tuple(r) for r in got] == [plain_person(k, seed) for k in range(300)]
+
+
 def test_changes_are_changes(spark, people):
     for changed in (synth.introduce_variations(people, 0.1, require_change=True), synth.mutate_voters(people)):
         same = people.join(changed.select(people.columns), people.columns)
