@@ -86,8 +86,7 @@ def uniform_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def store_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The unrelated people added to a store of the others, in the order of their positions."""
-    more = X.unrelated_person(spark, sf_dir).orderBy("position").drop("position")
-    added = store.ParquetStore.build(X.person(spark, sf_dir), LetterCountEmbedder()).add(more)
+    added = store.ParquetStore.build(X.person(spark, sf_dir), LetterCountEmbedder()).add(X.unrelated_person(spark, sf_dir))
     return added.rows().select("position", *X.FIELDS)
 
 

@@ -330,3 +330,11 @@ def test_stores_keep_their_text_and_dimension(spark, people, tmp_path):
     other = store.ParquetStore(store.ParquetStore.build(people, HashedNGramEmbedder(16)).rows(), ModelEmbedder("three", lambda: lambda texts: [[1.0, 2.0, 3.0]] * len(texts)))
     with pytest.raises(Exception, match="16 places"):
         other.add(people.limit(2).drop("position")).rows().collect()
+
+
+def test_added_records_stand_by_their_own_positions(spark):
+    """However the records are dealt: numbers by partition went wrong where a sort came in other partitions the second time."""
+    people = spark.range(7).select(F.col("id").alias("position"), *[F.lit(None).cast("string").alias(f) for f in FIELDS])
+    more = spark.range(3000).select((F.col("id") * 3).alias("position"), *[F.col("id").cast("string").alias(f) for f in FIELDS]).repartition(13)
+    got = store.append_rows(people, more).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(3007)) and [r.last_name for r in got[7:]] == [str(k) for k in range(3000)]
