@@ -126,6 +126,25 @@ def test_knn_in_passes(spark, monkeypatch):
     assert sorted(map(tuple, knn.knn_join_blocks(q, ref, 3).collect())) == want
 
 
+def test_knn_holds_few_scores_at_once(monkeypatch):
+    """Queries are taken in parts, so that scores held at once do not grow with them; ties and results stay."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows, asked = rng.integers(-2, 3, size=(500, 4)).astype(float), rng.integers(-2, 3, size=(70, 4)).astype(float)
+    places, vectors = pa.array(np.arange(500)), pa.array(rows.tolist())
+    seen = []
+    monkeypatch.setattr(knn, "MOST_ROWS", 64)
+    monkeypatch.setattr(knn, "MOST_SCORES", 64 * 8)
+    product = knn._Best._with
+    monkeypatch.setattr(knn._Best, "_with", lambda self, found, part, rows, places: seen.append((part.stop - part.start) * rows.shape[1]) or product(self, found, part, rows, places))
+    best = knn._Best(list(range(70)), asked, 6, False)
+    best.see(places, vectors)
+    got = list(zip(*(c.to_pylist() for c in best.columns(pa.int64())), strict=True))
+    s = asked @ rows.T
+    assert got == [(q, p, s[q, p]) for q in range(70) for p in np.lexsort((np.arange(500), -s[q]))[:6]] and max(seen) <= 64 * 8
+
+
 def test_knn_in_tiles(spark, monkeypatch):
     """Tiles give what one broadcast block gives: ties, zero and null vectors, ids of other types, an empty reference."""
     rng = np.random.default_rng(2)
