@@ -18,8 +18,9 @@ Where a range would still be large, as there is a bound on the number of splitte
 more, by a hash of the token. Splitters fall between different tokens only, so equal strings always meet in one bucket
 and the comparison across a boundary is between different tokens; no run goes on beyond it.
 What a bucket gets of a frequent string is one copy from each pack, not one from each
-document. A token that many packs have may stand in very many different contexts; its
-strings are dealt one by one, by their own hash, so that no range has to hold them all.
+document. A token that many packs have may stand in very many different contexts, which one
+range need not hold: its strings are parted by how far before it they start, first and
+second half, and a half is dealt by a hash of the bytes that all strings of it hold (a third of them and more).
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ PACK_BYTES = 4 << 20
 BUCKET_BYTES, MOST_RANGES = 6 << 20, 1 << 16
 #: A token that this many packs have is a frequent one.
 FREQUENT_PACKS = 256
+#: Its contexts are cut into two pieces, and into one more for so many packs of the corpus.
+PIECE_PACKS = 2048
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
 _CHUNK = 1 << 19
@@ -292,9 +295,10 @@ def _shared_tokens(pdf: pd.DataFrame, frequent: int) -> pd.DataFrame:
     return pd.DataFrame({"pack": pdf["pack"], "bucket": pdf["bucket"], "bits": bits(m), "often": bits(often)})
 
 
-def _contexts(id_col: str, length: int, ranges: int, parts: int, splitters: list[bytes]):
-    """The bytes around each anchor that may begin a repeat, by the range of its token and, in it, by a hash of the token."""
-    buckets = ranges * parts
+def _contexts(id_col: str, length: int, ranges: int, parts: int, splitters: list[bytes], pieces: int):
+    """The bytes around each anchor that may begin a repeat, by the range of its token and, in it, by a hash of the token; those of a frequent token
+    in ``pieces``, each by a hash of the bytes that all its strings hold."""
+    buckets, wide = ranges * parts, length - TOKEN + 1
     edge = np.array([np.frombuffer(s, ">u8") for s in splitters], np.uint64).reshape(-1, 2)
     halves = edge[:, 0].astype(object) * (1 << 64) + edge[:, 1].astype(object) if len(edge) else []
     edges = sorted(halves)
@@ -316,11 +320,15 @@ def _contexts(id_col: str, length: int, ranges: int, parts: int, splitters: list
                 raw = values.tobytes()
                 go = on[place]
                 anchor, doc, first, last, single = anchor[go], doc[go], first[go], last[go], often[place][go]
-                if single.any():  # each string of a frequent token by itself
-                    n = np.where(single, last - first + 1, 1)
-                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                lo, hi = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+                if single.any():  # the strings of a frequent token in pieces, by how far before the token they start
+                    n = np.where(single, pieces, 1)
+                    piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     anchor, doc, first, last, single = (np.repeat(x, n) for x in (anchor, doc, first, last, single))
-                    first, last = np.where(single, first + step, first), np.where(single, first + step, last)
+                    lo, hi = -(-piece * wide // pieces), -(-(piece + 1) * wide // pieces) - 1
+                    first, last = np.where(single, np.maximum(first, anchor - hi), first), np.where(single, np.minimum(last, anchor - lo), last)
+                    some = first <= last
+                    anchor, doc, first, last, single, lo, hi = (x[some] for x in (anchor, doc, first, last, single, lo, hi))
                 go = np.arange(len(first))
                 known: dict[bytes, int] = {}
                 number = np.fromiter((known.setdefault(raw[x:y], len(known)) for x, y in zip(first[go].tolist(), (last[go] + length).tolist(), strict=True)), np.int64, len(go))
@@ -328,9 +336,11 @@ def _contexts(id_col: str, length: int, ranges: int, parts: int, splitters: list
                     continue
                 sample = np.empty(len(known), np.int64)
                 sample[number[::-1]] = go[::-1]
-                at_token, by_itself = anchor[sample].tolist(), single[sample].tolist()
+                at_token, in_pieces = anchor[sample].tolist(), single[sample].tolist()
+                # all strings of a piece hold these bytes
+                held = zip((anchor - lo)[sample].tolist(), (anchor - hi)[sample].tolist(), strict=True)
                 to = np.fromiter(
-                    (zlib.crc32(x) % buckets if alone else bucket_of(raw[a : a + TOKEN]) for x, a, alone in zip(known, at_token, by_itself, strict=True)), np.int64, len(known)
+                    (zlib.crc32(raw[x : y + length]) % buckets if cut else bucket_of(raw[a : a + TOKEN]) for (x, y), a, cut in zip(held, at_token, in_pieces, strict=True)), np.int64, len(known)
                 )
                 by_range = np.argsort(to, kind="stable")
                 new = np.empty(len(known), np.int64)
@@ -480,7 +490,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     frequent = FREQUENT_PACKS
     bits = tokens.groupBy("bucket").applyInPandas(lambda pdf: _shared_tokens(pdf, frequent), "pack bigint, bucket int, bits binary, often binary")
     bits = bits.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits", "often")).alias("bits"))
-    contexts = inner.join(bits, "pack").select("pack", "texts", "lens", "rest", "bits").mapInArrow(_contexts(id_col, length, ranges, parts, splitters), "bucket int, pack bigint, blob binary")
+    pieces = min(length - TOKEN + 1, max(2, total // PACK_BYTES // PIECE_PACKS))
+    contexts = inner.join(bits, "pack").select("pack", "texts", "lens", "rest", "bits").mapInArrow(_contexts(id_col, length, ranges, parts, splitters, pieces), "bucket int, pack bigint, blob binary")
     spans = contexts.groupBy("bucket").applyInPandas(_repeats(length), "pack bigint, spans binary")
     spans = materialize(spans, "suffix-spans").groupBy("pack").agg(F.collect_list("spans").alias("spans"))
     rest = [f"`{c}` {kinds[c]}" for c in names if c != text_col]

@@ -83,6 +83,27 @@ def test_suffix_removal_over_many_packs_and_buckets(spark, monkeypatch, frequent
     assert sorted(digest_rows(suffixes.remove_repeats(docs))) == sorted(brute.remove_repeats(rows))
 
 
+def test_contexts_of_frequent_tokens_stay_small():
+    """A token that many packs have costs a few times its contexts, not one string for each place in them."""
+    import pyarrow as pa
+    import zstandard
+
+    raw = [texts.prose(k, 60).encode() for k in range(40)]
+    values, at = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])]
+    rest, sink = pa.table({"doc_id": pa.array(range(40), pa.int64())}), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rest.schema) as w:
+        w.write_table(rest)
+    blobs = [zstandard.ZstdCompressor().compress(values.tobytes()), suffixes.squeeze(np.diff(at).astype(np.int32)), sink.getvalue().to_pybytes()]
+    ones = b"\xff" * len(values)
+    size = {}
+    for often in (b"\0" * len(values), ones):
+        bits = pa.array([[{"bucket": 0, "bits": ones, "often": often}]])
+        batch = pa.record_batch([pa.array([1]), *[pa.array([x], pa.binary()) for x in blobs], bits], ["pack", "texts", "lens", "rest", "bits"])
+        out = list(suffixes._contexts("doc_id", 100, 1, 1, [], 2)(iter([batch])))
+        size[often] = sum(len(suffixes.unsqueeze(x, np.uint8, np.int32, np.int32, np.int64, np.int32)[0]) for b in out for x in b.column(2).to_pylist())
+    assert 0 < size[ones] <= 2.5 * size[b"\0" * len(values)]
+
+
 @pytest.mark.parametrize("ranges", [1, 3])
 def test_suffix_removal_where_ranges_are_cut_by_a_hash(spark, monkeypatch, ranges):
     monkeypatch.setattr(suffixes, "MOST_RANGES", ranges)
