@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,17 +89,29 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs, WEIGHTS, BLOCK_CHARS).orderBy("mix_slot", "mix_start", "doc_id").select(docs.columns)
 
 
+def _written_order(docs: DataFrame) -> DataFrame | None:
+    """``docs`` with ``written``, the place of each row in the files it is read from, whose names stand in the order of writing; None if it is not read from files."""
+    try:
+        return docs.withColumn("written", F.struct("_metadata.file_path", "_metadata.row_index")) if docs.inputFiles() else None
+    except AnalysisException:
+        return None
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their windows of token ids, which by name follow the mix.
+    """Pieces of all documents with their windows of token ids, which by name follow the order in which the mixing wrote them.
 
-    Files need not be read in the order in which they were written, so the mix is worked out again; of the same rows it is the same.
+    Files need not be read in that order, so a row's place is that of its file and its row there. Rows that come from no file are mixed first.
     """
     import public_tokenizers
 
-    rows = docs.select("doc_id", "source", F.md5("text").alias("cluster"), F.length("text").cast("bigint").alias("chars"), "text")
-    rows = count_tokens(rows, public_tokenizers.path("word_bpe_49k.json"))
-    placed = mix(materialize(rows, "pack-lengths"), WEIGHTS, BLOCK_CHARS, length=F.col("chars"))
-    return pack(placed, WINDOW_TOKENS, per_source=2, cluster=F.col("cluster"), length=F.col("n_ids"), order=["mix_slot", "mix_start", "doc_id"])
+    columns = ["doc_id", "source", F.md5("text").alias("cluster"), F.length("text").cast("bigint").alias("chars"), "text"]
+    written = _written_order(docs.select("doc_id", "source", "text"))
+    rows = docs.select(*columns) if written is None else written.select(*columns, "written")
+    rows = materialize(count_tokens(rows, public_tokenizers.path("word_bpe_49k.json")), "pack-lengths")
+    if written is None:
+        rows = mix(rows, WEIGHTS, BLOCK_CHARS, length=F.col("chars"))
+    order = ["mix_slot", "mix_start", "doc_id"] if written is None else ["written"]
+    return pack(rows, WINDOW_TOKENS, per_source=2, cluster=F.col("cluster"), length=F.col("n_ids"), order=order)
 
 
 STAGES = [

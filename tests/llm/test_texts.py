@@ -750,6 +750,19 @@ def test_packing_keeps_the_mix(spark, monkeypatch):
     assert seen[1.0] < 0.15 and seen[20.0] > 0.55  # targets 1/13 and 20/32; the raw share is a third
 
 
+def test_packing_keeps_the_order_that_the_mixing_wrote(spark, tmp_path, monkeypatch):
+    """Windows follow the rows as they were written, in any order, so what the mixing does is not done again."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(packing, "ORDERED_ROWS", 20, raising=False)
+    rows = [(k, texts.prose(k, 30), "en", f"src{k % 3}", 0) for k in range(200)]
+    for name, by in (("up", F.col("doc_id")), ("down", -F.col("doc_id"))):
+        spark.createDataFrame(rows, texts.SCHEMA).repartitionByRange(5, by).sortWithinPartitions(by).write.parquet(f"{tmp_path}/{name}")
+        got = corpus_pipeline.best_fit_packing(spark, spark.read.parquet(f"{tmp_path}/{name}"), "").collect()
+        runs = [r.doc_id // 20 for r in sorted(got, key=lambda r: r.bin_id)]
+        assert len(got) == 200 and runs == sorted(runs, reverse=name == "down")
+
+
 def test_pipeline_packs_token_ids(spark):
     import collections
 
