@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinsieve.functions import strings as S
 from kinsieve.functions.text import person_text
-from kinsieve.operators import blocking, comparison, sampling, synth
+from kinsieve.operators import blocking, blocks, comparison, sampling, synth
 from kinsieve.operators.embedding import LetterCountEmbedder
 from kinsieve.sources import store, voter
 
@@ -29,20 +30,25 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.query_candidates(X.query(spark, sf_dir), X.person(spark, sf_dir), X.RULES)
 
 
+def _sides(spark: SparkSession, sf_dir: str) -> tuple:
+    return X.query(spark, sf_dir), X.person(spark, sf_dir), X.RULES
+
+
 def jaro_winkler_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jw = lambda f: F.round(S.jaro_winkler(f"{f}_l", f"{f}_r"), 6)
-    return _pairs(spark, sf_dir).select("query_id", "position", jw("first_name").alias("jw_first"), jw("last_name").alias("jw_last"), jw("email").alias("jw_email"), jw("address").alias("jw_address"))
+    fields = {"jw_first": "first_name", "jw_last": "last_name", "jw_email": "email", "jw_address": "address"}
+    got = blocks.measured_pairs(*_sides(spark, sf_dir), {n: (f, S.jaro_winkler_cross, np.nan, float) for n, f in fields.items()}, "double")
+    return got.select("query_id", "position", *[F.round(F.nanvl(n, F.lit(None).cast("double")), 6).alias(n) for n in fields])
 
 
 def damerau_le1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = lambda f: S.damerau_within_one(F.col(f"{f}_l"), F.col(f"{f}_r"))
-    return _pairs(spark, sf_dir).select("query_id", "position", one("first_name").alias("first_name"), one("date_of_birth").alias("date_of_birth"))
+    got = blocks.measured_pairs(*_sides(spark, sf_dir), {f: (f, blocks.within_one_edit, -1, np.int8) for f in ("first_name", "date_of_birth")}, "int")
+    return got.select("query_id", "position", *[F.when(F.col(f) >= 0, F.col(f) == 1).alias(f) for f in ("first_name", "date_of_birth")])
 
 
 def _gammas(*names: str):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         chosen = [c for c in comparison.default_comparisons() if c.name in names]
-        return comparison.compare(_pairs(spark, sf_dir), chosen).select("query_id", "position", *[f"gamma_{n}" for n in names])
+        return blocks.compared_pairs(*_sides(spark, sf_dir), chosen).select("query_id", "position", *[f"gamma_{n}" for n in names])
 
     return q
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinsieve.operators import blocking, comparison as C, evaluation as ev, knn, sampling, scoring, training
+from kinsieve.operators import blocking, blocks, comparison as C, evaluation as ev, knn, sampling, scoring, training
 from kinsieve.operators.model import LinkModel
 
 FIELDS = ["first_name", "last_name", "date_of_birth", "address", "email"]
@@ -48,6 +48,30 @@ def test_default_weights():
     assert sum(u for _, u in C.default_m_u(5)) == pytest.approx(1)
 
 
+def test_blocks_equal_pairs_compared_one_by_one(spark, monkeypatch):
+    """Nulls, dates that are none, odd addresses, keys of one and of many tiles: levels, weights and best weights are those of the pairs as rows, and pairs never are rows of a measure."""
+    import random
+
+    rng = random.Random(3)
+    dates, mails = ["1990-01-02", "1990-10-20", "1990-01-20", "1990-02-30", "no date", None, "1990-01-2"], ["a@x", "ab@x", "@x", "", None, "abcd@y", "abdc@y", "a"]
+    rows = [(k, rng.choice(["Ada", "Aad", "Bo", "", None]), rng.choice(["Stone", "Stnoe", "Lake"]), rng.choice(dates), rng.choice(["1 Elm Street", "1 Elm St", None, "9 Oak"]), rng.choice(mails)) for k in range(70)]
+    people = spark.createDataFrame(rows, "position bigint, first_name string, last_name string, date_of_birth string, address string, email string")
+    asked = people.withColumnRenamed("position", "query_id")
+    rules, model = [("date_of_birth",), ("first_name", "last_name")], LinkModel.untrained()
+    want = {(r.query_id, r.position): r for r in scoring.score(blocking.query_candidates(asked, people, rules), model).collect()}
+    names = [f"gamma_{c.name}" for c in model.comparisons]
+    for most in (8, 1 << 22):
+        monkeypatch.setattr(blocks, "GROUP_PAIRS", most)
+        monkeypatch.setattr(blocks, "SUMMED_PAIRS", most)
+        found = blocks.compared_pairs(asked, people, rules, model.comparisons)
+        got = found.collect()
+        assert len(got) == len(want) and all(tuple(r[n] for n in names) == tuple(want[r.query_id, r.position][n] for n in names) for r in got)
+        best = {r.query_id: r.w0 for r in blocks.best_weights(asked, people, rules, [model]).collect()}
+        assert best == pytest.approx({q: max(r.match_weight for (x, _), r in want.items() if x == q) for q, _ in want})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "ArrowEvalPython" not in plan
+
+
 def test_weaken():
     c = C.jaro_winkler_at("address", (0.85, 0.75, 0.65))
     weak = C.weaken_comparison(c, 0.5)
