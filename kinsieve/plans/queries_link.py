@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinsieve.operators import blocking, comparison, evaluation as ev, model as m, scoring, synth, training
+from kinsieve.operators import blocking, blocks, comparison, evaluation as ev, model as m, scoring, synth, training
 
 from kinsieve.operators.embedding import LetterCountEmbedder
 
@@ -26,17 +26,26 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.query_candidates(X.query(spark, sf_dir), X.person(spark, sf_dir), X.RULES)
 
 
-def _scored(spark: SparkSession, sf_dir: str, model: m.LinkModel | None = None) -> DataFrame:
-    return scoring.score(_pairs(spark, sf_dir), model or m.LinkModel.untrained())
+def _scored(spark: SparkSession, sf_dir: str, least: float | None = None) -> DataFrame:
+    """``(query_id, position, match_weight, match_probability)`` of all candidate pairs, or of those at a probability of ``least``."""
+    floor = None if least is None else math.log2(least / (1 - least)) - 1e-6  # the probability itself decides
+    got = blocks.scored_pairs(X.query(spark, sf_dir), X.person(spark, sf_dir), X.RULES, m.LinkModel.untrained(), floor)
+    got = got.withColumn("match_probability", scoring.probability(F.col("match_weight")))
+    return got if least is None else got.where(F.col("match_probability") >= least)
+
+
+def _best(spark: SparkSession, sf_dir: str, *models: m.LinkModel) -> DataFrame:
+    return blocks.best_weights(X.query(spark, sf_dir), X.person(spark, sf_dir), X.RULES, models or [m.LinkModel.untrained()])
 
 
 def _p6(df: DataFrame) -> DataFrame:
     return df.withColumn("match_probability", F.round("match_probability", 6))
 
 
-def _cases(spark: SparkSession, sf_dir: str, scored: DataFrame | None = None) -> DataFrame:
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = X.query(spark, sf_dir).select("query_id", "category", "expected_match")
-    return scoring.max_probability(q, _scored(spark, sf_dir) if scored is None else scored).withColumnRenamed("max_probability", "probability")
+    best = _best(spark, sf_dir).select("query_id", scoring.probability(F.col("w0")).alias("match_probability"))
+    return scoring.max_probability(q, best).withColumnRenamed("max_probability", "probability")
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +61,7 @@ def match_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _p6(scoring.link(_pairs(spark, sf_dir), m.LinkModel.untrained()).select("query_id", "position", "match_probability"))
+    return _p6(_scored(spark, sf_dir, TAU).select("query_id", "position", "match_probability"))
 
 
 def _resolver(spark: SparkSession, sf_dir: str) -> tuple[Resolver, DataFrame]:
@@ -68,7 +77,7 @@ def pipeline_resolve_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scoring.link(_pairs(spark, sf_dir), m.LinkModel.untrained()).withColumn("match_probability", F.round("match_probability", 6))
+    found = _scored(spark, sf_dir, TAU).withColumn("match_probability", F.round("match_probability", 6))
     return scoring.best_match(found).select("query_id", "position", "match_probability")
 
 
@@ -88,7 +97,7 @@ def max_probability_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.matched_queries(scoring.link(_pairs(spark, sf_dir), m.LinkModel.untrained()))
+    return scoring.matched_queries(_best(spark, sf_dir).where(scoring.probability(F.col("w0")) >= TAU))
 
 
 _METRICS = ["accuracy", "precision", "recall", "specificity", "f1", "false_match_rate"]
@@ -128,11 +137,10 @@ def tau_sweep_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _strength_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best probability of each query for each strength of the address, from levels compared once."""
-    base = m.LinkModel.untrained()
-    compared = comparison.compare(_pairs(spark, sf_dir), base.comparisons)
-    weights = F.array(*[F.struct(F.lit(s).alias("strength"), scoring.match_weight(base.weakened("address", s)).alias("w")) for s in STRENGTHS])
-    best = compared.select("query_id", F.inline(weights)).groupBy("query_id", "strength").agg(F.max(scoring.probability(F.col("w"))).alias("p"))
+    """The best probability of each query for each strength of the address, from levels compared once; a weight that is greater is a probability that is."""
+    found = _best(spark, sf_dir, *[m.LinkModel.untrained().weakened("address", s) for s in STRENGTHS])
+    each = F.array(*[F.struct(F.lit(s).alias("strength"), scoring.probability(F.col(f"w{k}")).alias("p")) for k, s in enumerate(STRENGTHS)])
+    best = found.select("query_id", F.inline(each))
     q = X.query(spark, sf_dir).select("query_id", "category", "expected_match", F.explode(F.array(*[F.lit(s) for s in STRENGTHS])).alias("strength"))
     return q.join(best, ["query_id", "strength"], "left").withColumn("probability", F.coalesce("p", F.lit(0.0))).drop("p")
 
@@ -148,7 +156,8 @@ def best_operating_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prior_tau_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = m.LinkModel.untrained()
-    best = scoring.with_priors(_scored(spark, sf_dir, base).select("query_id", "match_weight", "match_probability"), base, PRIORS).groupBy("query_id", "prior").agg(F.max("match_probability").alias("p"))
+    found = _best(spark, sf_dir, base).select("query_id", F.col("w0").alias("match_weight"))  # the best for one prior is the best for all
+    best = scoring.with_priors(found, base, PRIORS).select("query_id", "prior", F.col("match_probability").alias("p"))
     q = X.query(spark, sf_dir).select("query_id", "expected_match", F.explode(F.array(*[F.lit(p) for p in PRIORS])).alias("prior"))
     cases = q.join(best, ["query_id", "prior"], "left").withColumn("probability", F.coalesce("p", F.lit(0.0)))
     return _rounded(ev.threshold_grid(cases, TAUS, "prior")).select("prior", "tau", "f1")
