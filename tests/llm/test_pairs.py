@@ -194,6 +194,19 @@ def test_finer_levels_and_labels_of_any_type_match_brute_force(spark, monkeypatc
     assert sum(got[k] == want[k] for k in want) >= 0.99 * len(want) and all(got[k][0] <= want[k][0] for k in want)
 
 
+def test_lattice_sends_a_vector_twice_in_a_round_at_most(spark):
+    packed = spark.createDataFrame([(g, n, k) for g, n in enumerate((1, 2, 5, 6)) for k in range(n)], "grp bigint, tiles bigint, tile bigint")
+    pairs = set()
+    for step in range(4):
+        sides = {}
+        for r in lattice._round(packed, step).collect():
+            sides.setdefault((r.grp, r.ti), {})[r.side] = r.tile
+        met = [(g, *sorted((x[0], x.get(1, x[0])))) for (g, _), x in sides.items()]
+        assert sum(len(x) for x in sides.values()) <= 2 * packed.count() and not pairs & {*met} and len(met) == len({*met})
+        pairs |= {*met}
+    assert pairs == {(g, i, j) for g, n in enumerate((1, 2, 5, 6)) for i in range(n) for j in range(i, n)}
+
+
 def test_lattice_takes_empty_tables_and_null_ids(spark):
     schema = "vec_id bigint, embedding array<float>, label int, rep int, cell int"
     assert lattice.near_duplicate_vectors(spark.createDataFrame([], schema)).count() == 0
