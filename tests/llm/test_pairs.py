@@ -194,6 +194,17 @@ def test_finer_levels_and_labels_of_any_type_match_brute_force(spark, monkeypatc
     assert sum(got[k] == want[k] for k in want) >= 0.99 * len(want) and all(got[k][0] <= want[k][0] for k in want)
 
 
+@pytest.mark.parametrize("tile", [1 << 17, 40, 13])
+def test_lattice_finds_the_same_links_however_many_vectors_a_label_has(spark, monkeypatch, tile):
+    """Vectors a good way above and below the threshold, in one tile, in an even and in an odd number of them; no setting hangs on the label's size."""
+    monkeypatch.setattr(lattice, "TILE", tile)
+    monkeypatch.setattr(lattice, "SMALL", 1 if tile < 100 else lattice.SMALL)
+    monkeypatch.setattr(lattice, "LEVELS", [(8, lattice.LatticeParams()), (1 << 62, lattice.LatticeParams(1, 1, 9.0, 3))])
+    rows = vector_rows() + [(400, [-0.0] + [1.0] * 15, 1), (401, [0.0] + [1.0] * 15, 1)]
+    got = lattice.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == brute.vector_links(rows)
+
+
 def test_lattice_sends_a_vector_twice_in_a_round_at_most(spark):
     packed = spark.createDataFrame([(g, n, k) for g, n in enumerate((1, 2, 5, 6)) for k in range(n)], "grp bigint, tiles bigint, tile bigint")
     pairs = set()
