@@ -205,6 +205,27 @@ def test_lattice_finds_the_same_links_however_many_vectors_a_label_has(spark, mo
     assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == brute.vector_links(rows)
 
 
+def test_links_of_a_pair_do_not_hang_on_the_vectors_beside_it(spark, monkeypatch, tmp_path):
+    """Pairs so far apart that the cells find only some, alone and with 33,000 vectors of their label at right angles to them, in three tiles."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(lattice, "TILE", 1 << 14)
+    rng = np.random.default_rng(25)
+    a, side = lattice.unit(rng.normal(size=(300, 32))), rng.normal(size=(300, 32))
+    side = lattice.unit(side - (side * a).sum(axis=1, keepdims=True) * a)
+    pairs = np.concatenate([a, 0.75 * a + 0.66 * side])
+    vectors = np.zeros((33600, 64), np.float32)
+    vectors[:600, :32], vectors[600:, 32:] = pairs, rng.normal(size=(33000, 32))
+    found = []
+    for n in (600, len(vectors)):
+        path = str(tmp_path / f"{n}.parquet")
+        pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": list(vectors[:n]), "label": np.zeros(n, np.int32)}), path)
+        got = lattice.near_duplicate_vectors(spark.read.parquet(path), threshold=0.7)
+        found.append({r.vec_id: (r.n_links, r.component_id, r.kept) for r in got.where("vec_id < 600").collect()})
+    assert found[0] == found[1] and 0 < sum(n for n, _, _ in found[0].values()) < 600
+
+
 def test_lattice_sends_a_vector_twice_in_a_round_at_most(spark):
     packed = spark.createDataFrame([(g, n, k) for g, n in enumerate((1, 2, 5, 6)) for k in range(n)], "grp bigint, tiles bigint, tile bigint")
     pairs = set()
